@@ -26,7 +26,7 @@ FIELDS = (
 # Possessive throughout: linear time, no recursion on very long records.
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^";]*+)'
 _RECORD = rf"(?s)\A{_FIELD}(?:;{_FIELD})*+\z"
-_EACH = rf"(?s)(?:\A|;)({_FIELD})"
+_EACH = rf"(?s);({_FIELD})"
 
 _DIGITS = r"\A[0-9]+\z"
 _POSTAL = r"\A[0-9]{5}\z"
@@ -42,7 +42,8 @@ def _body(raw: Column) -> Column:
 
 def _values(body: Column) -> Column:
     """Field values of a well-quoted record: outer quotes gone, doubled quotes single."""
-    fields = F.regexp_extract_all(body, F.lit(_EACH), F.lit(1))
+    # A leading separator gives every field one, so an empty first field is not skipped.
+    fields = F.regexp_extract_all(F.concat(F.lit(";"), body), F.lit(_EACH), F.lit(1))
     return F.transform(
         fields,
         lambda v: F.when(

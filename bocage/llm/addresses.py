@@ -23,16 +23,17 @@ _WORDS = {
     "st": "saint", "ste": "sainte", "dr": "docteur", "doct": "docteur", "cap": "capitaine", "capit": "capitaine",
     "cne": "capitaine", "gal": "general", "gen": "general", "prof": "professeur", "pr": "professeur",
     "cdt": "commandant", "col": "colonel", "mal": "marechal", "lt": "lieutenant", "pdt": "president",
+    "champ": "champs", "moulins": "moulin", "ecole": "ecoles", "grand": "grands", "grande": "grands", "grandes": "grands",
+    "petit": "petits", "petite": "petits", "petites": "petits", "jardin": "jardins", "vieille": "vieux", "blanc": "blanche",
     **NUMBER_WORDS,
 }
 _KINDS = frozenset(
-    "pre bois pont jardins jardin clos docteur capitaine general professeur commandant colonel marechal lieutenant president".split()
+    "pre bois pont jardins clos docteur capitaine general professeur commandant colonel marechal lieutenant president".split()
 )
 #: Common nouns and adjectives of street names: unlike a given name, none may be left out.
 _COMMON = _KINDS | frozenset(
-    "saint sainte vieux vieille grand grands grande grandes petit petits petite croix blanche blanc champs champ moulin "
-    "moulins gare poste marche republique lavoir tilleuls mairie acacias fontaine liberte chateau ecole ecoles abbaye "
-    "eglise stade novembre mai juillet ormeaux chenes pins cedres sous sur en lès les".split()
+    "saint sainte vieux grands petits croix blanche champs moulin gare poste marche republique lavoir tilleuls mairie "
+    "acacias fontaine liberte chateau ecoles abbaye eglise stade novembre mai juillet ormeaux chenes pins cedres".split()
 )
 _LONG_COMMON = sorted(w for w in _COMMON if len(w) > 4)
 _SKIP = frozenset("du de des la le les l d et au aux a".split())
@@ -57,7 +58,7 @@ _GLUED = re.compile(r"(?<![a-z0-9'])(?:n\s*[°o]?\s*\.?\s*)?0*(\d{1,4})(bis|ter|
 def _street_word(token: str) -> str:
     """Abbreviations in full, and common street words freed of one typing error."""
     full = _WORDS.get(token, token)
-    if full in _COMMON or len(full) < 5:
+    if full in _COMMON or len(full) < 5 or full == "marie":
         return full
     return next((w for w in _LONG_COMMON if edits(full, w, 1) <= 1), full)
 

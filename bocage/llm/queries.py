@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bocage.llm import linkage
+from bocage.llm import linkage, places
 from bocage.session import table
 
 
@@ -40,5 +40,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_links(spark, sf_dir).select("etab_finess", "siret")
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    communes = table(spark, sf_dir, "communes")
+    people = places.address_fields(
+        table(spark, sf_dir, "annuaire_ameli"), "id", [F.col("adresse")], communes,
+        F.col("code_insee"), F.col("code_postal"), F.col("ville"),
+    )
+    centres = places.address_fields(
+        table(spark, sf_dir, "centres_sante"), "etab_finess", [F.col("voie"), F.col("complement_voie"), F.col("lieu_dit")],
+        communes, F.col("code_insee"), F.col("code_postal"), F.col("ville"),
+    )
+    pairs = places.same_addresses(people, centres)
+    return pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("etab_finess"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found}
 ORACLE: dict[str, str] = {}

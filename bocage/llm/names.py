@@ -22,6 +22,8 @@ TRADE_WORDS = {
 }
 #: Words that show a centre or a practice.
 FORM_WORDS = {"centre": "c", "ctre": "c", "cds": "c", "cs": "c", "csi": "c", "cabinet": "k", "cab": "k"}
+#: Trades of health centres.
+HEALTH_CENTRE = frozenset(("dent", "med", "poly", "inf"))
 #: Legal forms and filler words, dropped.
 _LEGAL = frozenset(
     "selarl selas sas sasu sarl eurl scp scm sisa sci sa snc association assoc asso ass mutuelle mut ste societe groupe grp".split()
@@ -33,6 +35,11 @@ _PHRASES = re.compile(
 _FILLER = frozenset("de du des la le les l d et en a aux au sante soins medicale biologie medicales unknown".split())
 _TITLE = frozenset("docteur docteurs dr drs doct".split())
 _LONG_TRADE = [w for w in (*TRADE_WORDS, "centre", "cabinet", "medicale") if len(w) >= 6]
+#: Legal forms as written, with the one each shows.
+_LEGAL_OF = {
+    "selarl": "selarl", "sas": "sas", "sasu": "sas", "sarl": "sarl", "eurl": "eurl", "scp": "scp", "scm": "scm", "sisa": "sisa",
+    "association": "assoc", "assoc": "assoc", "asso": "assoc", "ass": "assoc", "mutuelle": "mut", "mut": "mut",
+}
 #: Words shared by many names, which never stand for one alone.
 COMMON = frozenset(
     "saint sainte val pays vallees vallee pins chenes tilleuls moulins cedres ormeaux collines rivieres fontaines "
@@ -46,6 +53,8 @@ class Name(NamedTuple):
     words: tuple[str, ...]  # proper words, sorted
     initials: tuple[str, ...]
     doctor: bool
+    legal: str = ""
+    last: str = ""  # the last proper word as written: the surname where a doctor is named
 
 
 @lru_cache(maxsize=200_000)
@@ -68,7 +77,12 @@ def parse_name(text: str | None, town: str | None = "") -> Name:
     The town, given apart, is dropped where a name ends with it.
     """
     low = undot(fold(text).replace("_", " "))
-    low = _PHRASES.sub(" ", low)
+    phrase = _PHRASES.search(low)
+    legal = ""
+    if phrase:
+        said = phrase.group()
+        legal = "selarl" if "exercice" in said else "scm" if "moyens" in said else "scp" if "professionnelle" in said else "sas" if "actions" in said else "sarl"
+        low = _PHRASES.sub(" ", low)
     tokens = [t for t in re.split(r"[^a-z0-9]+", low) if t]
     place = [t for t in re.split(r"[^a-z0-9]+", re.sub(r"\bcedex\b.*", "", fold(town))) if t]
     expand = {"st": "saint", "ste": "sainte", "s": "sous"}
@@ -79,6 +93,7 @@ def parse_name(text: str | None, town: str | None = "") -> Name:
     trades, form, words, initials, doctor = set(), "", [], [], False
     for t in tokens:
         known = _vocabulary(t)
+        legal = legal or _LEGAL_OF.get(t, "")
         if known in _TITLE and known:
             doctor = True
         elif known:
@@ -96,11 +111,14 @@ def parse_name(text: str | None, town: str | None = "") -> Name:
         trades.discard("med")
     if "soins" in tokens and "inf" not in trades and not trades and form == "c":
         trades.add("inf")
-    return Name(frozenset(trades), form, tuple(sorted(words)), tuple(initials), doctor)
+    return Name(frozenset(trades), form, tuple(sorted(words)), tuple(initials), doctor, legal, words[-1] if words else "")
 
 
 def trades_agree(a: Name, b: Name) -> int:
     """1 where trade and form agree, 0 where one is unknown, -1 where they conflict."""
+    if a.form and not a.trades and b.form:
+        # "centre de santé" without a speciality is any health centre, and only that.
+        return 0 if a.form == b.form and (a.form != "c" or b.trades & HEALTH_CENTRE) else -1
     if a.trades and b.trades:
         if not (a.trades & b.trades):
             return -1
@@ -124,6 +142,8 @@ def variants(name: Name) -> list[tuple[str, int]]:
             rest = words[:i] + words[i + 1 :]
             if any(w not in COMMON and len(w) > 2 for w in rest):
                 out.setdefault(" ".join(rest), 1)
+    if name.doctor and name.last and name.last not in COMMON:
+        out.setdefault(name.last, len(words) - 1)
     return list(out.items())
 
 

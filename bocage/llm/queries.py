@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bocage.llm import linkage, places
+from bocage.llm import linkage, places, variants
 from bocage.session import table
 
 
@@ -40,6 +40,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_links(spark, sf_dir).select("etab_finess", "siret")
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, siren, cost) of every directory row whose organisation is in the register."""
+    communes = table(spark, sf_dir, "communes")
+    register = variants.register_names(table(spark, sf_dir, "sirene_etablissements"), communes)
+    return variants.link_names(register, variants.typed_names(table(spark, sf_dir, "annuaire_ameli"), communes))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_links(spark, sf_dir).select("id", "siren").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     communes = table(spark, sf_dir, "communes")
     people = places.address_fields(
@@ -54,5 +65,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("etab_finess"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_links": p4_links, "p7_found": p7_found}
 ORACLE: dict[str, str] = {}

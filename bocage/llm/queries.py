@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bocage.llm import linkage, places, variants
+from bocage.llm import encoding, linkage, mixing, packing, percentiles, places, tokens, variants
 from bocage.session import table
 
 
@@ -40,6 +40,57 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_links(spark, sf_dir).select("etab_finess", "siret")
 
 
+def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p25, median and p75 of prix_m2 per commune, by multi-select over runs of all days."""
+    runs = percentiles.kept_runs(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
+    return percentiles.percentiles(runs).select(
+        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"),
+        F.round("p50", 6).alias("prix_m2_median"), F.round("p75", 6).alias("prix_m2_p75"),
+    )
+
+
+def p3_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from summaries of separate days of loaded_at, combined, within the stated error."""
+    values = percentiles.clean_values(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
+    return percentiles.from_sketches(percentiles.day_sketches(values)).select(
+        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"),
+        F.round("p50", 6).alias("prix_m2_median"), F.round("p75", 6).alias("prix_m2_p75"),
+    )
+
+
+def _lengths(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return mixing.corpus_lengths(tokens.with_token_counts(table(spark, sf_dir, "documents"), columns))
+
+
+def p8_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in containers of each kind, cut only where it alone exceeds the capacity."""
+    return packing.layouts(_lengths(spark, sf_dir, ["doc_id"]), table(spark, sf_dir, "conteneurs"))
+
+
+def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Space left unused per container kind."""
+    return packing.usage(p8_layout(spark, sf_dir), table(spark, sf_dir, "conteneurs"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: which text fills which slot, and its how-manieth use it is."""
+    return mixing.mix(_lengths(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.shares(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged documents with the encoding pairs at work and the text restored as far as possible."""
+    return encoding.repaired(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_restored(spark, sf_dir).select("doc_id").distinct()
+
+
 def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, siren, cost) of every directory row whose organisation is in the register."""
     communes = table(spark, sf_dir, "communes")
@@ -65,5 +116,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("etab_finess"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p4_found": p4_found, "p4_links": p4_links, "p7_found": p7_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "p1_found": p1_found, "p1_links": p1_links,
+    "p3_percentiles": p3_percentiles, "p3_by_days": p3_by_days,
+    "p4_found": p4_found, "p4_links": p4_links,
+    "p7_found": p7_found,
+    "p8_layout": p8_layout, "p8_usage": p8_usage,
+    "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_restored": p10_restored,
+}
+
+ORACLE: dict[str, str] = {
+    "p3_percentiles": """
+SELECT code_commune, count(*) AS n_prix, round(quantile_cont(prix_m2, 0.25), 6) AS prix_m2_p25,
+  round(quantile_cont(prix_m2, 0.5), 6) AS prix_m2_median, round(quantile_cont(prix_m2, 0.75), 6) AS prix_m2_p75
+FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM dvf_mutations)
+WHERE code_commune IS NOT NULL AND isfinite(prix_m2) AND prix_m2 > 0
+GROUP BY code_commune
+""",
+}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bocage.llm import encoding, linkage, mixing, packing, percentiles, places, tokens, variants
-from bocage.session import table
+from bocage.session import checkpoint, table
 
 
 def _centre_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_links(spark, sf_dir).select("etab_finess", "siret")
 
 
+def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of separate days: exact percentiles of each commune and day of loaded_at, from that day's runs."""
+    values = percentiles.clean_values(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
+    runs = percentiles.day_runs(values.withColumn("g", F.concat_ws("|", "g", "day")), by_day=False)
+    out = percentiles.percentiles(checkpoint(runs))
+    return out.select(
+        F.substring_index("g", "|", 1).alias("code_commune"), F.substring_index("g", "|", -1).cast("date").alias("jour"),
+        F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"), F.round("p50", 6).alias("prix_m2_median"),
+        F.round("p75", 6).alias("prix_m2_p75"),
+    )
+
+
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact p25, median and p75 of prix_m2 per commune, by multi-select over runs of all days."""
     runs = percentiles.kept_runs(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
@@ -118,7 +130,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_links": p1_links,
-    "p3_percentiles": p3_percentiles, "p3_by_days": p3_by_days,
+    "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_by_days": p3_by_days,
     "p4_found": p4_found, "p4_links": p4_links,
     "p7_found": p7_found,
     "p8_layout": p8_layout, "p8_usage": p8_usage,
@@ -127,6 +139,13 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "p3_daily": """
+SELECT code_commune, jour, count(*) AS n_prix, round(quantile_cont(prix_m2, 0.25), 6) AS prix_m2_p25,
+  round(quantile_cont(prix_m2, 0.5), 6) AS prix_m2_median, round(quantile_cont(prix_m2, 0.75), 6) AS prix_m2_p75
+FROM (SELECT * EXCLUDE (loaded_at), CAST(min(loaded_at) AS DATE) AS jour FROM dvf_mutations GROUP BY ALL)
+WHERE code_commune IS NOT NULL AND isfinite(prix_m2) AND prix_m2 > 0
+GROUP BY code_commune, jour
+""",
     "p3_percentiles": """
 SELECT code_commune, count(*) AS n_prix, round(quantile_cont(prix_m2, 0.25), 6) AS prix_m2_p25,
   round(quantile_cont(prix_m2, 0.5), 6) AS prix_m2_median, round(quantile_cont(prix_m2, 0.75), 6) AS prix_m2_p75

@@ -43,3 +43,128 @@ def department_of_postal(postal: Column) -> Column:
         .when(postal.rlike("^9[78]"), F.substring(postal, 1, 3))
         .when(postal.rlike("^[0-9]{5}$"), F.substring(postal, 1, 2))
     )
+
+
+def clean_text(value: Column) -> Column:
+    """Control characters and runs of blanks as one space, ends trimmed, blank as null."""
+    return non_empty(F.regexp_replace(F.regexp_replace(value, r"[\x00-\x1f]+", " "), r"\s+", " "))
+
+
+def non_empty(value: Column) -> Column:
+    """Trimmed text, null where nothing is left."""
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+_UNICODE_SPACES = "[\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+#: Letters whose upper case differs between engines, replaced before upper-casing; fixed values.
+_CASE_TRAPS = (
+    ("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"),
+    ("ﬅ", "st"), ("ﬆ", "st"), ("ŉ", "ʼn"), ("ǰ", "ǰ"),
+)
+
+
+def strip_cedex(value: Column) -> Column:
+    """Without the CEDEX mention and its number."""
+    return F.regexp_replace(value, r"(?i)\bCEDEX[ \t\n\x0B\f\r]*\d*", " ")
+
+
+def key_field(value: Column) -> Column:
+    """One component of an address key: spaces unified, CEDEX gone, upper case; null is empty."""
+    text = F.regexp_replace(F.coalesce(value, F.lit("")), _UNICODE_SPACES, " ")
+    text = F.trim(F.regexp_replace(strip_cedex(text), r"[ \t\n\x0B\f\r]+", " "))
+    for letter, plain in _CASE_TRAPS:
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.upper(text)
+
+
+def address_key(address: Column, postal: Column, commune: Column) -> Column:
+    """Geocode-cache key: three normalised components, empty ones kept."""
+    return F.concat_ws("|", key_field(address), key_field(postal), key_field(commune))
+
+
+def commune_name(value: Column) -> Column:
+    """Commune name in capitals: no accents, hyphens and marks as spaces, ST and STE in full."""
+    text = F.upper(strip_accents(value))
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[-'’,.]", " "), r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(text, r"\bSTE\b", "SAINTE"), r"\bST\b", "SAINT")
+
+
+#: Street words as abbreviated, and in full; fixed values.
+STREET_ABBREVIATIONS = {
+    "r": "rue", "av": "avenue", "ave": "avenue", "bd": "boulevard", "bvd": "boulevard", "boul": "boulevard",
+    "pl": "place", "all": "allee", "che": "chemin", "chem": "chemin", "rte": "route", "imp": "impasse", "sq": "square",
+    "qu": "quai", "crs": "cours", "pas": "passage", "fbg": "faubourg", "st": "saint", "ste": "sainte",
+}
+
+
+def expand_abbreviations(normalised: Column) -> Column:
+    """Each word of a normalised address in full where it is a known abbreviation."""
+    known = F.create_map(*[F.lit(x) for pair in STREET_ABBREVIATIONS.items() for x in pair])
+    return F.array_join(F.transform(F.split(normalised, " "), lambda w: F.coalesce(F.try_element_at(known, w), w)), " ")
+
+
+def geocoder_line(address: Column) -> Column:
+    """Street line for a geocoder: cut at the first comma if it starts with a number, leading zeros
+    and a lone zero gone; unchanged where no letter would be left."""
+    line = F.when((F.instr(address, ",") > 0) & address.rlike(r"^\s*\d"), F.substring_index(address, ",", 1)).otherwise(address)
+    out = F.regexp_replace(F.regexp_replace(line, r"^(\s*)0*(\d+)(\s|$)", "$1$2$3"), r"^(\s*)0(\s|$)", "$1")
+    return F.when(out.rlike("[A-Za-z]"), out).otherwise(address)
+
+
+def first_phone(value: Column) -> Column:
+    """The first number of a list, without separators."""
+    return non_empty(F.regexp_replace(F.element_at(F.split(value, "[/;,]"), 1), r"[\s.\-()]", ""))
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.when(
+        F.length(text) >= size,
+        F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: text.substr(i, F.lit(size))),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def dice(a: Column, b: Column) -> Column:
+    """Dice coefficient over the multisets of letter pairs: 1 where equal, 0 below two letters."""
+    ga, gb = _grams(a, 2), _grams(b, 2)
+    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+    shared = F.aggregate(F.array_distinct(ga), F.lit(0), lambda acc, g: acc + F.least(count(ga, g), count(gb, g)))
+    score = F.lit(2.0) * shared / (F.size(ga) + F.size(gb))
+    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(score)
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct trigrams of the words of a text, each word padded by two blanks before and one after."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: _grams(F.concat(F.lit("  "), w, F.lit(" ")), 3))))
+
+
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Shared over all distinct trigrams; 0 where neither text has a word."""
+    ta, tb = trigrams(a), trigrams(b)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(ta, tb)), F.size(F.array_union(ta, tb)).cast("double")), F.lit(0.0))
+
+
+def word_similarity(query: Column, text: Column) -> Column:
+    """Greatest trigram similarity of the query to any run of words of the text.
+
+    Runs of whole words stand for the continuous extents of the trigram list; as a definition
+    of its own it is exact, as the other it is an approximation at word borders.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    tq = trigrams(query)
+
+    def run(i: Column, j: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(F.slice(words, i, j - i + 1), lambda w: _grams(F.concat(F.lit("  "), w, F.lit(" ")), 3))))
+
+    n = F.size(words)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    scores = F.flatten(
+        F.transform(
+            starts,
+            lambda i: F.transform(
+                F.sequence(i, n),
+                lambda j: F.size(F.array_intersect(tq, run(i, j))) / F.size(F.array_union(tq, run(i, j))).cast("double"),
+            ),
+        )
+    )
+    return F.coalesce(F.array_max(scores), F.lit(0.0))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bocage.plans import problems
+from bocage.plans import cleaning, enrichment, lookups, problems
 
-MODULES = (problems,)
+MODULES = (problems, cleaning, lookups, enrichment)
 
 
 def queries() -> dict:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEPARTMENT = r"^(?:\d{2}|2A|2B|97[1-8]|98[4-8])$"
-EXISTING_DEPARTMENT = r"^(?:0[1-9]|1\d|2[1-9]|[3-8]\d|9[0-5]|2A|2B|97[1-8]|98[4-8])$"
-INSEE = r"^[0-9][0-9AB][0-9]{3}$"
-FINESS = r"^\d{9}$"
-SIRET = r"^\d{14}$"
-SIREN = r"^\d{9}$"
-RPPS = r"^\d{11,12}$"
-IRIS = r"^(?:\d{2}|2A|2B)\d{7}$"
+DEPARTMENT = r"^(?:\d{2}|2A|2B|97[1-8]|98[4-8])\z"
+EXISTING_DEPARTMENT = r"^(?:0[1-9]|1\d|2[1-9]|[3-8]\d|9[0-5]|2A|2B|97[1-8]|98[4-8])\z"
+INSEE = r"^[0-9][0-9AB][0-9]{3}\z"
+FINESS = r"^\d{9}\z"
+SIRET = r"^\d{14}\z"
+SIREN = r"^\d{9}\z"
+RPPS = r"^\d{11,12}\z"
+IRIS = r"^(?:\d{2}|2A|2B)\d{7}\z"
 
 #: (parent commune, first and last district code) of the three cities with districts; fixed values.
 DISTRICTS = (("75056", "75101", "75120"), ("69123", "69381", "69389"), ("13055", "13201", "13216"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def strict_number(text: Column) -> Column:
     """Only plain decimals with an optional minus; anything else is null."""
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^-?\d+(\.\d+)?$"), trimmed).try_cast("double")
+    return F.when(trimmed.rlike(r"^-?\d+(\.\d+)?\z"), trimmed).try_cast("double")
 
 
 def loose_number(text: Column) -> Column:
@@ -65,7 +65,7 @@ def count_label(n: Column) -> Column:
 
 def strict_date(text: Column) -> Column:
     """Calendar dates YYYY-MM-DD from 1900 on; anything else is null."""
-    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("date")
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))).cast("date")
     return F.when(day >= F.lit("1900-01-01").cast("date"), day)
 
 

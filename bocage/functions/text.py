@@ -124,12 +124,12 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    """Dice coefficient over the multisets of letter pairs: 1 where equal, 0 below two letters."""
+    """Dice coefficient over the multisets of letter pairs: 1 where equal, 0 below two letters, null for null."""
     ga, gb = _grams(a, 2), _grams(b, 2)
     count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
     shared = F.aggregate(F.array_distinct(ga), F.lit(0), lambda acc, g: acc + F.least(count(ga, g), count(gb, g)))
-    score = F.lit(2.0) * shared / (F.size(ga) + F.size(gb))
-    return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(score)
+    score = F.try_divide(F.lit(2.0) * shared, F.size(ga) + F.size(gb))
+    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(score)
 
 
 def trigrams(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bocage.plans import cleaning, enrichment, lookups, problems
+from bocage.plans import aggregates, cleaning, enrichment, loading, lookups, matching, problems
 
-MODULES = (problems, cleaning, lookups, enrichment)
+MODULES = (problems, cleaning, lookups, enrichment, aggregates, matching, loading)
 
 
 def queries() -> dict:

@@ -30,6 +30,7 @@ from bocage.session import checkpoint
 
 RADIUS = 2
 MOST_COST = 2.75
+SALTS = 32
 _UNIT_SCHEMA = "siren string, commune string, variant string, profile string"
 _TYPED_SCHEMA = "id long, commune string, variant string, left_out int, profile string"
 
@@ -110,10 +111,14 @@ def radius_pairs(register: DataFrame, typed: DataFrame, radius: int = RADIUS) ->
     pivots = register.join(sizes, "commune").where((share < 1 / F.sqrt("n")) | (F.col("variant") == F.col("first"))).select(
         "commune", F.col("variant").alias("pivot")
     )
+    # A commune with a third of all names would meet its pivots in one task: names are spread
+    # over salts, and the pivots, few by construction, are copied to each.
+    salt = F.pmod(F.xxhash64("variant", F.lit(11)), F.lit(SALTS)).cast("int").alias("salt")
+    pivots = pivots.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     d = F.levenshtein("variant", "pivot")
-    homes = register.join(pivots, "commune").groupBy("commune", "variant").agg(F.min(F.struct(d.alias("d"), "pivot")).alias("h"))
+    homes = register.select("*", salt).join(pivots, ["commune", "salt"]).groupBy("commune", "variant").agg(F.min(F.struct(d.alias("d"), "pivot")).alias("h"))
     homes = homes.select("commune", F.col("variant").alias("known"), F.col("h.pivot").alias("pivot"), F.col("h.d").alias("known_d"))
-    reach = typed.join(pivots, "commune").select("commune", "variant", "pivot", d.alias("typed_d"))
+    reach = typed.select("*", salt).join(pivots, ["commune", "salt"]).select("commune", "variant", "pivot", d.alias("typed_d"))
     nearest = reach.groupBy("commune", "variant").agg(F.min("typed_d").alias("least"))
     visits = reach.join(nearest, ["commune", "variant"]).where(F.col("typed_d") <= F.col("least") + 2 * radius).drop("least")
     # The annulus and the length are necessary conditions, cheaper than the distance itself.

@@ -54,7 +54,7 @@ _NUMBER = re.compile(
 _GLUED = re.compile(r"(?<![a-z0-9'])(?:n\s*[°o]?\s*\.?\s*)?0*(\d{1,4})(bis|ter|quater|[bt])(?![a-z0-9'])")
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _street_word(token: str) -> str:
     """Abbreviations in full, and common street words freed of one typing error."""
     full = _WORDS.get(token, token)
@@ -88,7 +88,7 @@ def _take_number(text: str) -> tuple[int, str, str]:
     return -1, "", text
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def parse_address(*fields: str | None) -> Address:
     """The parts of one address whose fields may hold any part, in any order.
 
@@ -142,7 +142,7 @@ def _initial_of(letter: str, words: list[str]) -> str | None:
     return next((w for w in words if len(w) > 1 and w[0] == letter), None)
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def same_street(type_a: str, a: tuple[str, ...], type_b: str, b: tuple[str, ...]) -> bool:
     """One street under two spellings: order, typos, initials and a missing given name aside."""
     if (type_a and type_b and type_a != type_b) or not a or not b:

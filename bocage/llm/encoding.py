@@ -203,7 +203,7 @@ class Model:
                     likely = -1.0 if original == LOST else self.score(left, original, _neighbour(run, i + n))
                     here.append((s, n, original, likely))
             out.append(here)
-        if len(self.units) < 200_000:
+        if len(self.units) < 20_000:
             self.units[run] = out
         return out
 
@@ -222,7 +222,7 @@ class Model:
                 clean += units[i][0][3]
                 best[i] = max(u[3] + best[i + u[1]] for u in units[i])
         result = best[0] <= clean + 1e-9
-        if len(self.clean_runs) < 1_000_000:
+        if len(self.clean_runs) < 300_000:
             self.clean_runs[run] = result
         return result
 

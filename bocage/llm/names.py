@@ -57,7 +57,7 @@ class Name(NamedTuple):
     last: str = ""  # the last proper word as written: the surname where a doctor is named
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _vocabulary(word: str) -> str:
     """The trade or form word a token is, up to one typing error in the long ones."""
     if word in TRADE_WORDS or word in FORM_WORDS or word in _LEGAL or word in _FILLER or word in _TITLE:
@@ -70,7 +70,7 @@ def _vocabulary(word: str) -> str:
     return ""
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def parse_name(text: str | None, town: str | None = "") -> Name:
     """The parts of one name; null, blank and sentinel names have no words.
 
@@ -147,7 +147,7 @@ def variants(name: Name) -> list[tuple[str, int]]:
     return list(out.items())
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=50_000)
 def name_overlap(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int, int]:
     """(matched proper words, words only in a, words only in b), typing errors aside."""
     left, right, hits = list(a), list(b), 0

@@ -29,7 +29,7 @@ def undot(text: str) -> str:
     return re.sub(r"(?<![a-z0-9])(?:[a-z]\.){2,}[a-z]?(?![a-z])", lambda m: m.group().replace(".", "") + " ", text)
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def edits(a: str, b: str, most: int = 3) -> int:
     """Restricted Damerau-Levenshtein distance, or ``most + 1`` as soon as it must exceed ``most``."""
     if a == b:

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from bocage.llm.addresses import Address, parse_address, same_location
 from bocage.operators.communes import with_commune
+from bocage.session import checkpoint
 
-_FORMS_SCHEMA = "node string, parts string, combos array<string>"
+_FORMS_SCHEMA = "node string, combos array<string>"
 
 
 def _pack(a: Address) -> str:
@@ -54,16 +55,21 @@ def component_combos(commune: str, a: Address) -> list[str]:
     return sorted(out)
 
 
+def _parsed(batches):
+    for pdf in batches:
+        nodes = [f"{r.commune}\x1d{_pack(parse_address(r.f1, r.f2, r.f3))}" for r in pdf.itertuples(index=False)]
+        yield pd.DataFrame({"key": pdf["key"], "node": nodes})
+
+
 def _expanded(batches):
     for pdf in batches:
         rows = []
-        for r in pdf.itertuples(index=False):
-            a = parse_address(r.f1, r.f2, r.f3)
-            combos = component_combos(r.commune, a)
+        for node in pdf["node"]:
+            commune, _, parts = node.partition("\x1d")
+            combos = component_combos(commune, _unpack(parts))
             if combos:
-                parts = _pack(a)
-                rows.append((f"{r.commune}\x1d{parts}", parts, combos))
-        yield pd.DataFrame(rows, columns=["node", "parts", "combos"])
+                rows.append((node, combos))
+        yield pd.DataFrame(rows, columns=["node", "combos"])
 
 
 def _fields(df: DataFrame, key: str, fields: list[Column], communes: DataFrame, code: Column, postal: Column, town: Column) -> DataFrame:
@@ -76,38 +82,31 @@ def _fields(df: DataFrame, key: str, fields: list[Column], communes: DataFrame,
     return placed.where(F.col("commune").isNotNull()).select("key", "commune", "f1", "f2", "f3")
 
 
-def address_nodes(fields: DataFrame) -> DataFrame:
-    """Distinct parsed addresses: node, parts, combos; equal texts are parsed once per partition of texts."""
-    return fields.select("commune", "f1", "f2", "f3").distinct().mapInPandas(_expanded, _FORMS_SCHEMA).dropDuplicates(["node"])
-
-
-def _node_of(batches):
-    for pdf in batches:
-        nodes = [f"{r.commune}\x1d{_pack(parse_address(r.f1, r.f2, r.f3))}" for r in pdf.itertuples(index=False)]
-        yield pd.DataFrame({"key": pdf["key"], "node": nodes})
-
-
 def _verified(batches):
     for pdf in batches:
-        keep = [same_location(_unpack(a), _unpack(b)) for a, b in zip(pdf["a_parts"], pdf["b_parts"])]
+        parts = lambda node: _unpack(node.partition("\x1d")[2])
+        keep = [same_location(parts(a), parts(b)) for a, b in zip(pdf["a_node"], pdf["b_node"])]
         yield pdf.loc[keep, ["a_node", "b_node"]]
 
 
 def same_addresses(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_key, right_key) of records that denote one location; inputs as ``_fields`` returns."""
 
+    def parsed(df: DataFrame) -> DataFrame:
+        kind = df.schema["key"].dataType.simpleString()
+        return checkpoint(df.mapInPandas(_parsed, f"key {kind}, node string"))
+
     def keyed(df: DataFrame, side: str) -> DataFrame:
-        combos = address_nodes(df).select("node", "parts", F.explode("combos").alias("c"))
-        return combos.select(F.xxhash64("c").alias("combo"), F.col("node").alias(f"{side}_node"), F.col("parts").alias(f"{side}_parts"))
+        combos = df.select("node").distinct().mapInPandas(_expanded, _FORMS_SCHEMA).select("node", F.explode("combos").alias("c"))
+        return combos.select(F.xxhash64("c").alias("combo"), F.col("node").alias(f"{side}_node"))
 
+    # Parsed once: the combinations and the members both read the result.
+    left, right = parsed(left), parsed(right)
     pairs = keyed(left, "a").join(keyed(right, "b"), "combo").drop("combo").distinct()
     same = pairs.mapInPandas(_verified, "a_node string, b_node string")
 
     def members(df: DataFrame, side: str) -> DataFrame:
-        kind = df.schema["key"].dataType.simpleString()
-        return df.mapInPandas(_node_of, f"key {kind}, node string").select(
-            F.col("node").alias(f"{side}_node"), F.col("key").alias(f"{side}_key")
-        ).distinct()
+        return df.select(F.col("node").alias(f"{side}_node"), F.col("key").alias(f"{side}_key")).distinct()
 
     return (
         same.join(members(left, "a"), "a_node")

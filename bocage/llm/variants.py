@@ -1,8 +1,8 @@
 """Problem 4: variant spellings of organisation names.
 
 Names become canonical strings (trade words, legal forms, order and initials set aside).
-Within a commune the strings form a metric space under the edit distance: every string of
-the register goes to the cell of its nearest pivot, every typed string to all cells that the
+Within a trade of a commune (different trades are infinitely far apart, which is a metric too)
+the strings form a metric space under the edit distance: every string of the register goes to the cell of its nearest pivot, every typed string to all cells that the
 triangle inequality cannot rule out for the radius, and each cell runs an exact radius join.
 Candidates are then judged by trade, completeness and the address of the row.
 
@@ -31,8 +31,10 @@ from bocage.session import checkpoint
 RADIUS = 2
 MOST_COST = 2.75
 SALTS = 32
-_UNIT_SCHEMA = "siren string, commune string, variant string, profile string"
-_TYPED_SCHEMA = "id long, commune string, variant string, left_out int, profile string"
+#: Trade of the typed names that show none: they meet every trade of their commune.
+ANY = "*"
+_UNIT_SCHEMA = "siren string, commune string, trade string, variant string, profile string"
+_TYPED_SCHEMA = "id long, commune string, trade string, variant string, profile string"
 
 
 def _profile(n: Name, address) -> str:
@@ -61,9 +63,10 @@ def _register(batches):
                 n = parse_name(text, r.town)
                 own = legal.doctor and any(same_word(legal.last, w) for w in n.words)
                 n = n._replace(trades=legal.trades, form=legal.form, doctor=own, legal=legal.legal, last=legal.last)
+                profile = _profile(n, address)
                 for v, _ in variants(n):
-                    rows.append((r.siren, r.commune, v, _profile(n, address)))
-        yield pd.DataFrame(rows, columns=["siren", "commune", "variant", "profile"])
+                    rows += [(r.siren, r.commune, t, v, profile) for t in sorted(legal.trades) or [""]]
+        yield pd.DataFrame(rows, columns=["siren", "commune", "trade", "variant", "profile"])
 
 
 def _typed(batches):
@@ -71,9 +74,10 @@ def _typed(batches):
         rows = []
         for r in pdf.itertuples(index=False):
             n = parse_name(r.name, r.town)
-            for v, out in variants(n):
-                rows.append((r.id, r.commune, v, out, _profile(n, parse_address(r.street))))
-        yield pd.DataFrame(rows, columns=["id", "commune", "variant", "left_out", "profile"])
+            trades, profile = [*sorted(n.trades), ""] if n.trades else [ANY], _profile(n, parse_address(r.street))
+            for v, _ in variants(n):
+                rows += [(r.id, r.commune, t, v, profile) for t in trades]
+        yield pd.DataFrame(rows, columns=["id", "commune", "trade", "variant", "profile"])
 
 
 def register_names(sites: DataFrame, communes: DataFrame) -> DataFrame:
@@ -182,13 +186,22 @@ def _judged(batches):
 def link_names(register: DataFrame, typed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, siren, cost): the one legal unit of the row's commune that its name stands for."""
     register, typed = checkpoint(register), checkpoint(typed)
-    known = register.select("commune", "variant").distinct()
-    wanted = typed.select("commune", "variant").distinct()
-    pairs = radius_pairs(known, wanted, radius)
+    space = F.concat_ws("|", "commune", "trade")
+    known = register.select("commune", space.alias("space"), "siren", F.col("variant").alias("known"), F.col("profile").alias("b"))
+    # A name that shows no trade may belong to any of the few there are in its commune.
+    spaces = known.select("commune", "space").distinct()
+    profiles = typed.select("commune", "trade", "variant", F.col("profile").alias("a")).distinct()
+    plain = profiles.where(F.col("trade") != ANY).select("commune", space.alias("space"), "variant", "a")
+    every = profiles.where(F.col("trade") == ANY).join(spaces, "commune").select("commune", "space", "variant", "a")
+    wanted = plain.unionByName(every)
+    pairs = radius_pairs(
+        known.select(F.col("space").alias("commune"), F.col("known").alias("variant")).distinct(),
+        wanted.select(F.col("space").alias("commune"), "variant").distinct(),
+        radius,
+    ).withColumnRenamed("commune", "space")
     # Equal profiles are judged once, however many rows carry them.
-    profiles = typed.select("commune", "variant", F.col("profile").alias("a")).distinct()
-    units = register.select("commune", F.col("variant").alias("known"), "siren", F.col("profile").alias("b"))
-    candidates = profiles.join(pairs, ["commune", "variant"]).join(units, ["commune", "known"]).select("commune", "a", "siren", "b").distinct()
+    units = known.select("space", "known", "siren", "b")
+    candidates = wanted.join(pairs, ["space", "variant"]).join(units, ["space", "known"]).select("commune", "a", "siren", "b").distinct()
     judged = candidates.mapInPandas(_judged, "a string, commune string, siren string, cost double")
     best = judged.groupBy("commune", "a", "siren").agg(F.min("cost").alias("cost"))
     order = Window.partitionBy("commune", "a").orderBy("cost")

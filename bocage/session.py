@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,24 @@ def build_session(app: str = "bocage", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package where they would not find it by themselves, once per application."""
+    context, home = spark.sparkContext, Path(__file__).resolve().parent
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if getattr(context, "_bocage_shipped", False) or str(home.parent) in known:
+        return
+    folder = tempfile.mkdtemp(prefix="bocage-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(os.path.join(folder, "bocage.zip"), "w") as archive:
+        for source in sorted(home.rglob("*.py")):
+            archive.write(source, source.relative_to(home.parent))
+    context.addPyFile(os.path.join(folder, "bocage.zip"))
+    context._bocage_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

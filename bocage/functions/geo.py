@@ -88,3 +88,45 @@ def ring_edges(ring: Column) -> Column:
             F.element_at(ring, ((i + 1) % F.size(ring)) + 1)["y"].alias("y2"),
         ),
     )
+
+
+#: Lambert-93 on the GRS80 ellipsoid: exponent, constant, pole and eccentricity; fixed values.
+_L93_N, _L93_C, _L93_X, _L93_Y, _L93_E = 0.725607765053267, 11754255.426096, 700000.0, 12655612.049876, 0.0818191910428158
+
+
+def lambert93_lon(x: Column, y: Column) -> Column:
+    """Longitude in degrees of Lambert-93 metres."""
+    return F.lit(3.0) + F.degrees(F.atan2(x - _L93_X, F.lit(_L93_Y) - y)) / _L93_N
+
+
+def lambert93_lat(x: Column, y: Column) -> Column:
+    """Latitude in degrees of Lambert-93 metres: the conformal latitude and its series in the eccentricity."""
+    radius = F.sqrt(F.pow(x - _L93_X, 2) + F.pow(y - _L93_Y, 2))
+    chi = 2 * F.atan(F.pow(F.lit(_L93_C) / radius, 1 / _L93_N)) - math.pi / 2
+    e2 = _L93_E**2
+    terms = (
+        e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360,
+        7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520,
+        7 * e2**3 / 120 + 81 * e2**4 / 1120,
+        4279 * e2**4 / 161280,
+    )
+    phi = chi
+    for k, term in enumerate(terms, 1):
+        phi = phi + F.lit(term) * F.sin(2 * k * chi)
+    return F.degrees(phi)
+
+
+def in_france(lon: Column, lat: Column) -> Column:
+    """Coordinates within the box that holds mainland and overseas France."""
+    return F.coalesce(lon.between(-65.0, 60.0) & lat.between(-25.0, 52.0), F.lit(False))
+
+
+def resolved_point(lon: Column, lat: Column, x: Column, y: Column) -> dict[str, Column]:
+    """Degrees where usable, else projected metres turned into degrees, else null; with the layout used."""
+    direct = usable_point(lon, lat)
+    projected = F.coalesce(x.between(0.0, 1.3e6) & y.between(6.0e6, 7.2e6), F.lit(False))
+    return {
+        "lon": F.when(direct, lon).when(projected, lambert93_lon(x, y)),
+        "lat": F.when(direct, lat).when(projected, lambert93_lat(x, y)),
+        "layout": F.when(direct & projected, "degrees_first").when(direct, "degrees_only").when(projected, "projected_only").otherwise("unusable"),
+    }

@@ -66,3 +66,10 @@ def test_points_and_distances(spark):
     one = value(spark, geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("y")), y=1.0)
     assert one == pytest.approx(geo.METRES_PER_DEGREE)
     assert value(spark, geo.haversine_m(F.lit(0.0), F.lit(0.0), F.lit(180.0), F.col("y")), y=0.0) == pytest.approx(geo.METRES_PER_DEGREE * 180)
+
+
+def test_lambert93(spark):
+    df = spark.createDataFrame([(700_000.0, 6_600_000.0), (652_469.02, 6_862_035.26)], "x double, y double")
+    got = [(r["lon"], r["lat"]) for r in df.select(geo.lambert93_lon(F.col("x"), F.col("y")).alias("lon"), geo.lambert93_lat(F.col("x"), F.col("y")).alias("lat")).collect()]
+    assert got[0] == pytest.approx((3.0, 46.5), abs=1e-7)
+    assert got[1] == pytest.approx((2.3522, 48.8566), abs=2e-3)

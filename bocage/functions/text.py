@@ -123,13 +123,32 @@ def _grams(text: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """``body`` over values computed once: a lambda would otherwise compute its outer expressions anew for each element."""
+    bound = F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)
+    return F.element_at(bound, 1)
+
+
+def _numbered(grams: Column) -> Column:
+    """Grams told apart by their how-manieth occurrence, so set operations act on the multiset."""
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.transform(grams, lambda g: F.concat(g, F.lit("1")))).otherwise(
+        F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    )
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient over the multisets of letter pairs: 1 where equal, 0 below two letters, null for null."""
-    ga, gb = _grams(a, 2), _grams(b, 2)
-    count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    shared = F.aggregate(F.array_distinct(ga), F.lit(0), lambda acc, g: acc + F.least(count(ga, g), count(gb, g)))
-    score = F.try_divide(F.lit(2.0) * shared, F.size(ga) + F.size(gb))
-    return F.when(a.isNull() | b.isNull(), None).when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(score)
+
+    def score(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["na"], s["nb"]))
+        return F.try_divide(F.lit(2.0) * shared, F.size(s["na"]) + F.size(s["nb"]))
+
+    def scored(t: Column) -> Column:
+        numbered = let({"ga": _grams(t["a"], 2), "gb": _grams(t["b"], 2)}, lambda g: F.struct(_numbered(g["ga"]).alias("na"), _numbered(g["gb"]).alias("nb")))
+        short = (F.length(t["a"]) < 2) | (F.length(t["b"]) < 2)
+        return F.when(t["a"].isNull() | t["b"].isNull(), None).when(t["a"] == t["b"], 1.0).when(short, 0.0).otherwise(let({"n": numbered}, lambda n: score(n["n"])))
+
+    return let({"a": a, "b": b}, scored)
 
 
 def trigrams(text: Column) -> Column:
@@ -140,8 +159,8 @@ def trigrams(text: Column) -> Column:
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all distinct trigrams; 0 where neither text has a word."""
-    ta, tb = trigrams(a), trigrams(b)
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(ta, tb)), F.size(F.array_union(ta, tb)).cast("double")), F.lit(0.0))
+    ratio = lambda t: F.try_divide(F.size(F.array_intersect(t["ta"], t["tb"])), F.size(F.array_union(t["ta"], t["tb"])).cast("double"))
+    return F.coalesce(let({"ta": trigrams(a), "tb": trigrams(b)}, ratio), F.lit(0.0))
 
 
 def word_similarity(query: Column, text: Column) -> Column:
@@ -150,21 +169,19 @@ def word_similarity(query: Column, text: Column) -> Column:
     Runs of whole words stand for the continuous extents of the trigram list; as a definition
     of its own it is exact, as the other it is an approximation at word borders.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    tq = trigrams(query)
-
-    def run(i: Column, j: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(F.slice(words, i, j - i + 1), lambda w: _grams(F.concat(F.lit("  "), w, F.lit(" ")), 3))))
-
-    n = F.size(words)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    scores = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(i, n),
-                lambda j: F.size(F.array_intersect(tq, run(i, j))) / F.size(F.array_union(tq, run(i, j))).cast("double"),
-            ),
-        )
-    )
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
+    split = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    by_word = F.transform(split, lambda w: _grams(F.concat(F.lit("  "), w, F.lit(" ")), 3))
+
+    def best(s: Column) -> Column:
+        n = F.size(s["words"])
+        starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+        def likeness(run: Column) -> Column:
+            return F.size(F.array_intersect(s["tq"], run)) / F.size(F.array_union(s["tq"], run)).cast("double")
+
+        def run(i: Column, j: Column) -> Column:
+            return let({"run": F.array_distinct(F.flatten(F.slice(s["words"], i, j - i + 1)))}, lambda r: likeness(r["run"]))
+
+        return F.array_max(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, n), lambda j: run(i, j)))))
+
+    return F.coalesce(let({"tq": trigrams(query), "words": by_word}, best), F.lit(0.0))

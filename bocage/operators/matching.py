@@ -47,13 +47,17 @@ def address_verdict(a: Column, b: Column) -> tuple[Column, Column]:
     return verdict, text.dice(left, right)
 
 
-def reconciliation(name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> dict[str, Column]:
+def reconciled(df: DataFrame, name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> DataFrame:
     """Scores of name and address, their weighted sum, and the verdict it gives."""
-    name = text.dice(text.compare_key(name_a), text.compare_key(name_b))
-    address = text.dice(text.compare_key(address_a), text.compare_key(address_b))
-    whole = name * 0.5 + address * 0.4
-    verdict = F.when(whole >= 0.8, "match").when(whole >= 0.5, "partial").otherwise("mismatch")
-    return {"score_name": name, "score_address": address, "score": F.round(whole, 3), "verdict": verdict}
+    scored = df.withColumns(
+        {
+            "score_name": text.dice(text.compare_key(name_a), text.compare_key(name_b)),
+            "score_address": text.dice(text.compare_key(address_a), text.compare_key(address_b)),
+        }
+    ).withColumn("_whole", F.col("score_name") * 0.5 + F.col("score_address") * 0.4)
+    verdict = F.when(F.col("_whole") >= 0.8, "match").when(F.col("_whole") >= 0.5, "partial").otherwise("mismatch")
+    rounded = {c: F.round(c, 3) for c in ("score_name", "score_address")}
+    return scored.withColumns({**rounded, "score": F.round("_whole", 3), "verdict": verdict}).drop("_whole")
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float) -> DataFrame:

@@ -54,27 +54,38 @@ def address_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centres.join(people, ["lon", "lat"]).where("lon <> 0").select("etab_finess", "id", verdict.alias("verdict"), F.round(score, 6).alias("score"))
 
 
+def _door(line):
+    """The first number of an address line: pairs of a commune meet only at equal doors."""
+    return F.regexp_extract(line, r"([0-9]+)", 1).try_cast("int")
+
+
 def reconciliations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres against establishments of their commune whose number is the same."""
-    centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL").select("etab_finess", "etab_raison_sociale", "voie", F.col("code_insee").alias("c")).distinct()
+    """Centres against establishments of their commune at the same door."""
+    centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL").select(
+        "etab_finess", "etab_raison_sociale", "voie", F.col("code_insee").alias("c"), _door(F.col("voie")).alias("door")
+    ).distinct()
     sites = table(spark, sf_dir, "sirene_etablissements").where("actif").select(
         "siret", "raison_sociale_unite_legale", F.concat_ws(" ", "numero_voie", "type_voie", "libelle_voie").alias("line"), F.col("code_commune").alias("c")
-    ).distinct()
-    scores = matching.reconciliation(F.col("etab_raison_sociale"), F.col("raison_sociale_unite_legale"), F.col("voie"), F.col("line"))
-    rounded = {k: v if k == "verdict" else F.round(v, 3) for k, v in scores.items()}
-    return centres.join(sites, "c").withColumns(rounded).where("score >= 0.5").select("etab_finess", "siret", *scores)
+    ).distinct().withColumn("door", _door(F.col("line")))
+    pairs = matching.reconciled(
+        centres.join(sites, ["c", "door"]), F.col("etab_raison_sociale"), F.col("raison_sociale_unite_legale"), F.col("voie"), F.col("line")
+    )
+    return pairs.where("score >= 0.5").select("etab_finess", "siret", "score_name", "score_address", "score", "verdict")
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one matching of centre and establishment addresses of a commune, best first."""
-    centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL AND voie IS NOT NULL").select(
-        F.col("etab_finess").alias("lkey"), text.compare_key(F.col("voie")).alias("la"), F.col("code_insee").alias("c")
+    """One-to-one matching of centre and establishment addresses of a commune at the same door, best first."""
+    block = lambda commune, line: F.concat_ws("|", F.col(commune), _door(line))
+    centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL AND voie RLIKE '[0-9]'").select(
+        F.col("etab_finess").alias("lkey"), text.compare_key(F.col("voie")).alias("la"), block("code_insee", F.col("voie")).alias("b")
     ).distinct()
-    sites = table(spark, sf_dir, "sirene_etablissements").where("actif").select(
-        F.col("siret").alias("rkey"), text.compare_key(F.concat_ws(" ", "numero_voie", "type_voie", "libelle_voie")).alias("ra"), F.col("code_commune").alias("c")
+    line = F.concat_ws(" ", "numero_voie", "type_voie", "libelle_voie")
+    sites = table(spark, sf_dir, "sirene_etablissements").where("actif").where(line.rlike("[0-9]")).select(
+        F.col("siret").alias("rkey"), text.compare_key(line).alias("ra"), block("code_commune", line).alias("b")
     ).distinct()
-    pairs = matching.blocked_pairs(centres, sites, "c", "la", "ra", 0.7)
-    return enrich.matched_one_to_one(pairs.select("lkey", "rkey", F.round("score", 6).alias("score")), "lkey", "rkey", "score")
+    pairs = matching.blocked_pairs(centres, sites, "b", "la", "ra", 0.7)
+    best = pairs.groupBy("lkey", "rkey").agg(F.max(F.round("score", 6)).alias("score"))
+    return enrich.matched_one_to_one(best, "lkey", "rkey", "score")
 
 
 def site_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,9 +145,9 @@ e AS (SELECT *, array_to_string(list_transform(string_split(a, ' '), lambda w: c
   array_to_string(list_transform(string_split(b, ' '), lambda w: coalesce({_ABBREVIATION_MAP}[w], w)), ' ') AS xb FROM j)
 SELECT etab_finess, id, CASE WHEN voie IS NULL OR adresse IS NULL THEN 'absent' WHEN a = b THEN 'match' WHEN xa = xb THEN 'match_after_abbreviation' ELSE 'divergent' END AS verdict,
   CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE round({sql_dice("a", "b")}, 6) END AS score FROM e""",
-    "c29_reconciliations": f"""WITH c AS (SELECT DISTINCT etab_finess, {sql_compare("etab_raison_sociale")} AS na, {sql_compare("voie")} AS aa, code_insee AS c FROM centres_sante WHERE code_insee IS NOT NULL),
-s AS (SELECT DISTINCT siret, {sql_compare("raison_sociale_unite_legale")} AS nb, {sql_compare(_SITE_LINE)} AS ab, code_commune AS c FROM sirene_etablissements WHERE actif),
-d AS (SELECT etab_finess, siret, {sql_dice("na", "nb")} AS n, {sql_dice("aa", "ab")} AS a FROM c JOIN s USING (c) WHERE na IS NOT NULL AND aa IS NOT NULL)
+    "c29_reconciliations": f"""WITH c AS (SELECT DISTINCT etab_finess, {sql_compare("etab_raison_sociale")} AS na, {sql_compare("voie")} AS aa, code_insee AS c, try_cast(regexp_extract(voie, '([0-9]+)', 1) AS INT) AS door FROM centres_sante WHERE code_insee IS NOT NULL),
+s AS (SELECT DISTINCT siret, {sql_compare("raison_sociale_unite_legale")} AS nb, {sql_compare(_SITE_LINE)} AS ab, code_commune AS c, try_cast(regexp_extract({_SITE_LINE}, '([0-9]+)', 1) AS INT) AS door FROM sirene_etablissements WHERE actif),
+d AS (SELECT etab_finess, siret, {sql_dice("na", "nb")} AS n, {sql_dice("aa", "ab")} AS a FROM c JOIN s USING (c, door) WHERE na IS NOT NULL AND aa IS NOT NULL)
 SELECT DISTINCT etab_finess, siret, round(n, 3) AS score_name, round(a, 3) AS score_address, round(n * 0.5 + a * 0.4, 3) AS score,
   CASE WHEN n * 0.5 + a * 0.4 >= 0.8 THEN 'match' WHEN n * 0.5 + a * 0.4 >= 0.5 THEN 'partial' ELSE 'mismatch' END AS verdict FROM d WHERE round(n * 0.5 + a * 0.4, 3) >= 0.5""",
 }

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from bocage.functions import codes
 from bocage.operators import quality
-from bocage.session import table
+from bocage.session import scratch_folder, table
+from bocage.streaming import events
 
 
 def sales_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,13 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows as a stream over the event files, run until nothing is left."""
+    stream = events.event_stream(spark, sf_dir, pattern="events.parquet")
+    out = events.run_available(events.windowed_counts(stream, "1 day"), scratch_folder(spark, "windows"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value out of the JSON of each event, by type."""
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -105,7 +113,7 @@ def order_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "q07_sales_gate": sales_gate, "q09_directory_gate": directory_gate, "q13_geocode_work": geocode_work, "q14_geocode_results": geocode_results,
-    "c34_territory_panorama": territory_panorama, "c13_iris_profiles": iris_profiles, "s_event_windows": event_windows,
+    "c34_territory_panorama": territory_panorama, "c13_iris_profiles": iris_profiles, "s_event_windows": event_windows, "s_streamed_windows": streamed_windows,
     "n02_event_properties": event_properties, "a00_order_revenue": order_revenue,
 }
 
@@ -152,6 +160,7 @@ SELECT code_departement, population, n_people, n_centres, n_sales,
   concat_ws(',', CASE WHEN n_people IS NULL THEN 'people' END, CASE WHEN n_centres IS NULL THEN 'centres' END, CASE WHEN n_sales IS NULL THEN 'sales' END) AS missing
 FROM t LEFT JOIN p USING (code_departement) LEFT JOIN c USING (code_departement) LEFT JOIN s USING (code_departement)""",
     "s_event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "s_streamed_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "n02_event_properties": """SELECT event_type, count(k) AS n_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k
 FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""",
     "a00_order_revenue": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY 1)

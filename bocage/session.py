@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -69,6 +70,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+
+
 def bucket_count(rows: int, rows_per_bucket: int) -> int:
     """Buckets that keep a hash bucket near ``rows_per_bucket`` at any input size."""
     return max(1, -(-rows // rows_per_bucket))

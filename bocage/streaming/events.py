@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4) -> DataFrame:
-    """A folder of Parquet files as a stream with a bounded intake per trigger."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4, pattern: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder whose names fit the pattern, as a stream with a bounded intake per trigger."""
+    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def once(df: DataFrame, key: str = "event_id", ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -32,8 +33,16 @@ def sessions(df: DataFrame, gap: str = "30 minutes", ts: str = "ts", delay: str
     ).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def run_available(df: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:
-    """Process what is there as a stream and return the result as a table of the session."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Process what is there as a stream; the result is kept, with the stream's own checkpoint, under ``folder``.
+
+    Complete results replace those of the trigger before, appended ones add up.
+    """
+    spark, out = df.sparkSession, f"{folder}/result"
+    write = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "complete":
+        query = write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    else:
+        query = write.format("parquet").option("path", out).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(out)

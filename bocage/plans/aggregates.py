@@ -167,7 +167,7 @@ SELECT specialite_code, CASE WHEN count(*) OVER (PARTITION BY libelle) > 1 THEN
     "a06_group_centroids": f"""WITH p AS (SELECT code_insee, {sql_point(1)} AS lon, {sql_point(2)} AS lat FROM annuaire_ameli WHERE geom_source = 'ban_address' AND code_insee IS NOT NULL)
 SELECT code_insee, count(*) AS n_points, floor(sum(CAST(round(lon * 1e6) AS BIGINT)) / count(*) + 0.5) / 1e6 AS lon, floor(sum(CAST(round(lat * 1e6) AS BIGINT)) / count(*) + 0.5) / 1e6 AS lat
 FROM p WHERE lon IS NOT NULL AND NOT (lon = 0 AND lat = 0) GROUP BY 1""",
-    "a09_price_statistics": f"""WITH r AS (SELECT *, CASE WHEN prix_m2 > 0 AND prix_m2 < 1e12 THEN prix_m2 END AS p FROM dvf_mutations WHERE {sql_metres("longitude", "latitude")} <= 25000)
+    "a09_price_statistics": f"""WITH r AS (SELECT *, CASE WHEN isfinite(prix_m2) AND prix_m2 > 0 AND prix_m2 < 1e12 THEN prix_m2 END AS p FROM dvf_mutations WHERE {sql_metres("longitude", "latitude")} <= 25000)
 SELECT count(*) AS n_rows, count(p) AS n_prices, count_if(surface_terrain > 0) AS n_lands, round(quantile_cont(p, 0.25), 4) AS p25, round(quantile_cont(p, 0.5), 4) AS p50,
   round(quantile_cont(p, 0.75), 4) AS p75, round(quantile_cont(surface_terrain, 0.5) FILTER (WHERE surface_terrain > 0), 4) AS median_land,
   min(date_mutation) AS first_day, max(date_mutation) AS last_day FROM r""",

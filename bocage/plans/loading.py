@@ -117,7 +117,7 @@ QUERIES = {
     "n02_event_properties": event_properties, "a00_order_revenue": order_revenue,
 }
 
-_PRICE = "CASE WHEN prix_m2 > 0 AND prix_m2 < 1e12 THEN prix_m2 END"
+_PRICE = "CASE WHEN isfinite(prix_m2) AND prix_m2 > 0 AND prix_m2 < 1e12 THEN prix_m2 END"
 
 
 def _rule(name: str, severity: str, value: str, low, high) -> str:

@@ -136,6 +136,11 @@ def _numbered(grams: Column) -> Column:
     )
 
 
+def numbered_pairs(value: Column) -> Column:
+    """The letter pairs of a text, each told apart by its occurrence."""
+    return F.element_at(F.transform(F.array(_grams(value, 2)), _numbered), 1)
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient over the multisets of letter pairs: 1 where equal, 0 below two letters, null for null."""
 

@@ -47,6 +47,37 @@ def address_verdict(a: Column, b: Column) -> tuple[Column, Column]:
     return verdict, text.dice(left, right)
 
 
+_MASKS = 4
+
+
+def with_pairs(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """With the letter pairs of a normalised text as a count and a bit set, computed once a row: what ``dice_bound`` reads."""
+    bits = F.transform(text.numbered_pairs(F.col(column)), lambda g: F.pmod(F.xxhash64(g), F.lit(64 * _MASKS)).cast("int"))
+    df = df.withColumns({f"{prefix}_n": F.greatest(F.length(column) - 1, F.lit(0)), f"{prefix}_bits": bits})
+
+    def mask(i: int) -> Column:
+        own = F.filter(f"{prefix}_bits", lambda bit: F.floor(bit / 64) == i)
+        one = F.lit(1).cast("long")
+        return F.aggregate(own, F.lit(0).cast("long"), lambda seen, bit: seen.bitwiseOR(F.call_function("shiftleft", one, F.pmod(bit, F.lit(64)))))
+
+    return df.withColumns({f"{prefix}_m{i}": mask(i) for i in range(_MASKS)}).drop(f"{prefix}_bits")
+
+
+def dice_bound(a: str, b: str, pa: str, pb: str) -> Column:
+    """Not less than the Dice coefficient of two texts with ``with_pairs``, at the cost of a few integer operations.
+
+    A bit set on one side only stands for at least one letter pair of that side which the other lacks.
+    """
+
+    def shared(p: str, q: str) -> Column:
+        lacking = sum((F.bit_count(F.col(f"{p}_m{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}_m{i}")))) for i in range(_MASKS)), F.lit(0))
+        return F.col(f"{p}_n") - lacking
+
+    na, nb = F.col(f"{pa}_n"), F.col(f"{pb}_n")
+    most = F.lit(2.0) * F.least(shared(pa, pb), shared(pb, pa)) / F.nullif(na + nb, F.lit(0))
+    return F.when(F.col(a) == F.col(b), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(most)
+
+
 def reconciled(df: DataFrame, name_a: Column, name_b: Column, address_a: Column, address_b: Column) -> DataFrame:
     """Scores of name and address, their weighted sum, and the verdict it gives."""
     scored = df.withColumns(

@@ -60,17 +60,22 @@ def _door(line):
 
 
 def reconciliations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centres against establishments of their commune at the same door."""
+    """Centres against all establishments of their commune."""
     centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL").select(
-        "etab_finess", "etab_raison_sociale", "voie", F.col("code_insee").alias("c"), _door(F.col("voie")).alias("door")
-    ).distinct()
+        "etab_finess", "etab_raison_sociale", "voie", F.col("code_insee").alias("c")
+    ).distinct().withColumns({"na": text.compare_key(F.col("etab_raison_sociale")), "aa": text.compare_key(F.col("voie"))})
     sites = table(spark, sf_dir, "sirene_etablissements").where("actif").select(
         "siret", "raison_sociale_unite_legale", F.concat_ws(" ", "numero_voie", "type_voie", "libelle_voie").alias("line"), F.col("code_commune").alias("c")
-    ).distinct().withColumn("door", _door(F.col("line")))
-    pairs = matching.reconciled(
-        centres.join(sites, ["c", "door"]), F.col("etab_raison_sociale"), F.col("raison_sociale_unite_legale"), F.col("voie"), F.col("line")
-    )
-    return pairs.where("score >= 0.5").select("etab_finess", "siret", "score_name", "score_address", "score", "verdict")
+    ).distinct().withColumns({"nb": text.compare_key(F.col("raison_sociale_unite_legale")), "ab": text.compare_key(F.col("line"))})
+    left = matching.with_pairs(matching.with_pairs(centres, "na", "pna"), "aa", "paa")
+    right = matching.with_pairs(matching.with_pairs(sites, "nb", "pnb"), "ab", "pab")
+    # The score is rounded to 3 places, so the bound stays a place below its limit.
+    bound = matching.dice_bound("na", "nb", "pna", "pnb") * 0.5 + matching.dice_bound("aa", "ab", "paa", "pab") * 0.4
+    near = left.join(right, "c").where(bound >= 0.499).select("etab_finess", "siret", "etab_raison_sociale", "raison_sociale_unite_legale", "voie", "line")
+    # Most pairs may be of one commune: what is left to score is dealt out anew.
+    near = near.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = matching.reconciled(near, F.col("etab_raison_sociale"), F.col("raison_sociale_unite_legale"), F.col("voie"), F.col("line"))
+    return pairs.where("score >= 0.5").select("etab_finess", "siret", "score_name", "score_address", "score", "verdict").distinct()
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bocage.functions import text
+from bocage.session import checkpoint
 
 
 def search_names(df: DataFrame, name: str, query: str, least: float, key: str, limit: int | None = None) -> DataFrame:
@@ -92,16 +93,16 @@ def reconciled(df: DataFrame, name_a: Column, name_b: Column, address_a: Column,
 
 
 def blocked_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str, least: float) -> DataFrame:
-    """Pairs of a block whose normalised texts reach a Dice coefficient; ``left`` has lkey, ``right`` rkey.
+    """Pairs of a block whose normalised texts reach a Dice coefficient.
 
-    Dice over letter pairs cannot reach ``least`` if the lengths differ too much, which is
-    tested first.
+    A bound from the letter pairs of both texts is tested first and loses nothing; what is left
+    is dealt out anew, since most pairs may be of one block.  The checkpoint keeps the exact
+    score from being computed before the bound.
     """
-    pairs = left.join(right, block)
-    la, lb = F.length(a) - 1, F.length(b) - 1
-    possible = F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb)
-    scored = pairs.where((F.col(a) == F.col(b)) | possible).withColumn("score", text.dice(F.col(a), F.col(b)))
-    return scored.where(F.col("score") >= least)
+    pairs = with_pairs(left, a, "_pa").join(with_pairs(right, b, "_pb"), block).where(dice_bound(a, b, "_pa", "_pb") >= least)
+    kept = pairs.select(block, *[c for c in (*left.columns, *right.columns) if c != block])
+    dealt = checkpoint(kept.repartition(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.withColumn("score", text.dice(F.col(a), F.col(b))).where(F.col("score") >= least)
 
 
 def name_verdict(candidates: DataFrame, query: str, least: float) -> DataFrame:

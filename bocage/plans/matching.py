@@ -54,11 +54,6 @@ def address_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centres.join(people, ["lon", "lat"]).where("lon <> 0").select("etab_finess", "id", verdict.alias("verdict"), F.round(score, 6).alias("score"))
 
 
-def _door(line):
-    """The first number of an address line: pairs of a commune meet only at equal doors."""
-    return F.regexp_extract(line, r"([0-9]+)", 1).try_cast("int")
-
-
 def reconciliations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centres against all establishments of their commune."""
     centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL").select(
@@ -78,21 +73,51 @@ def reconciliations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("score >= 0.5").select("etab_finess", "siret", "score_name", "score_address", "score", "verdict").distinct()
 
 
-def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one matching of centre and establishment addresses of a commune at the same door, best first."""
-    block = lambda commune, line: F.concat_ws("|", F.col(commune), _door(line))
-    centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL AND voie RLIKE '[0-9]'").select(
-        F.col("etab_finess").alias("lkey"), text.compare_key(F.col("voie")).alias("la"), block("code_insee", F.col("voie")).alias("b")
+def _address_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Centres (lkey, la, c) and active establishments (rkey, ra, c), with normalised address and commune."""
+    centres = table(spark, sf_dir, "centres_sante").where("code_insee IS NOT NULL AND etab_finess IS NOT NULL").select(
+        F.col("etab_finess").alias("lkey"), text.compare_key(F.col("voie")).alias("la"), F.col("code_insee").alias("c")
     ).distinct()
-    line = F.concat_ws(" ", "numero_voie", "type_voie", "libelle_voie")
-    sites = table(spark, sf_dir, "sirene_etablissements").where("actif").where(line.rlike("[0-9]")).select(
-        F.col("siret").alias("rkey"), text.compare_key(line).alias("ra"), block("code_commune", line).alias("b")
+    sites = table(spark, sf_dir, "sirene_etablissements").where("actif AND code_commune IS NOT NULL AND siret IS NOT NULL").select(
+        F.col("siret").alias("rkey"), text.compare_key(F.concat_ws(" ", "numero_voie", "type_voie", "libelle_voie")).alias("ra"), F.col("code_commune").alias("c")
     ).distinct()
-    pairs = matching.blocked_pairs(centres, sites, "b", "la", "ra", 0.7)
+    return centres, sites
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-one matching of all centre and establishment addresses of a commune, best first."""
+    centres, sites = _address_lists(spark, sf_dir)
+    texts = matching.blocked_pairs(centres.select("c", "la").distinct(), sites.select("c", "ra").distinct(), "c", "la", "ra", 0.7)
+    pairs = texts.join(centres, ["c", "la"]).join(sites, ["c", "ra"])
     best = pairs.groupBy("lkey", "rkey").agg(F.max(F.round("score", 6)).alias("score"))
     return enrich.matched_one_to_one(best, "lkey", "rkey", "score")
 
 
+def _list_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(commune, list, key, matched) of every centre and active establishment."""
+    centres, sites = _address_lists(spark, sf_dir)
+    found = coverage(spark, sf_dir)
+    side = lambda df, key, name: df.select("c", key).distinct().join(found.select(key, F.lit(True).alias("hit")), key, "left").select(
+        F.col("c").alias("commune"), F.lit(name).alias("list"), F.col(key).alias("key"), F.coalesce("hit", F.lit(False)).alias("matched")
+    )
+    return side(centres, "lkey", "centre").unionByName(side(sites, "rkey", "site"))
+
+
+def coverage_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres and establishments that are only in their own list."""
+    return _list_members(spark, sf_dir).where("NOT matched").drop("matched")
+
+
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per commune the sizes of both lists, what is matched and only in one, and centres over establishments, null without these."""
+    a, b = F.col("list") == "centre", F.col("list") == "site"
+    counts = _list_members(spark, sf_dir).groupBy("commune").agg(
+        F.count_if(a).alias("n_centres"), F.count_if(b).alias("n_sites"), F.count_if(a & F.col("matched")).alias("n_matched"),
+        F.count_if(a & ~F.col("matched")).alias("n_centres_only"), F.count_if(b & ~F.col("matched")).alias("n_sites_only"),
+    )
+    return counts.withColumn("ratio", F.round(F.try_divide(F.col("n_centres"), F.col("n_sites")), 6))
+
+
 def site_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory rows on the site of each centre, by distance band."""
     centres = proximity.located(table(spark, sf_dir, "centres_sante"), F.col("etab_finess"))
@@ -105,7 +130,7 @@ def site_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "x03_dice_scores": dice_scores, "x04_trigram_scores": trigram_scores, "c04_name_search": name_search, "c05_name_verdicts": name_verdicts,
     "c09_people_search": people_search, "c28_address_verdicts": address_verdicts, "c29_reconciliations": reconciliations,
-    "c32_coverage": coverage, "c24_site_candidates": site_candidates,
+    "c32_coverage": coverage, "c32_only": coverage_only, "c32_ratio": coverage_ratio, "c24_site_candidates": site_candidates,
 }
 
 from bocage.plans.cleaning import _ABBREVIATION_MAP, _LAT, _LON, sql_compare  # noqa: E402

@@ -23,3 +23,22 @@ d AS (SELECT etab_finess, siret, {plans.sql_dice("na", "nb")} AS n, {plans.sql_d
 SELECT DISTINCT etab_finess, siret, round(n, 3), round(a, 3), round(n * 0.5 + a * 0.4, 3) FROM d WHERE round(n * 0.5 + a * 0.4, 3) >= 0.5""").fetchall()
     got = [tuple(r)[:5] for r in plans.reconciliations(spark, "/root/testdata/sf0.01").collect()]
     assert sorted(got) == sorted(wanted)
+
+
+def test_coverage_matches_all_addresses_of_a_commune(spark, con):
+    pairs = con.execute(f"""WITH l AS (SELECT DISTINCT etab_finess AS k, {sql_compare("voie")} AS a, code_insee AS c FROM centres_sante WHERE code_insee IS NOT NULL),
+r AS (SELECT DISTINCT siret AS k, {sql_compare(plans._SITE_LINE)} AS b, code_commune AS c FROM sirene_etablissements WHERE actif),
+d AS (SELECT l.k AS lk, r.k AS rk, {plans.sql_dice("a", "b")} AS s FROM l JOIN r USING (c))
+SELECT lk, rk, round(max(s), 6) FROM d WHERE s >= 0.7 GROUP BY 1, 2""").fetchall()
+    used, expected = set(), []
+    for left, right, score in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if ("l", left) not in used and ("r", right) not in used:
+            used |= {("l", left), ("r", right)}
+            expected.append((left, right, score))
+    got = [(r["lkey"], r["rkey"], r["score"]) for r in plans.coverage(spark, "/root/testdata/sf0.01").collect()]
+    assert sorted(got) == sorted(expected)
+    counts = plans.coverage_ratio(spark, "/root/testdata/sf0.01").collect()
+    only = plans.coverage_only(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["n_matched"] for r in counts) == len(expected)
+    assert sum(r["n_centres_only"] + r["n_sites_only"] for r in counts) == len(only)
+    assert all(r["ratio"] is None for r in counts if not r["n_sites"]) and any(r["ratio"] for r in counts)

@@ -84,33 +84,102 @@ def merged_candidates(known: DataFrame, offers: DataFrame, key: str, score: str,
     )
 
 
-def matched_one_to_one(pairs: DataFrame, left: str, right: str, score: str, rounds: int = 50) -> DataFrame:
-    """Greedy matching by score, without a driver loop over rows: in each round every pair that
-    is the best of both its sides is taken and its sides leave, which gives the same pairs as
-    taking them one by one in order of score, then keys.  Lineage is cut by checkpoints.
+def matched_one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """Greedy matching by score, then keys: each pair is taken if neither side is; null keys and scores take no part."""
+    kept = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    keyed = kept.select(left, right, score, F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b"))
+    return matched_groups(keyed.select("a", "b", score), keyed.select("a", left).distinct(), keyed.select("b", right).distinct(), left, right, score)
+
+
+def matched_groups(edges: DataFrame, lefts: DataFrame, rights: DataFrame, left: str, right: str, score: str) -> DataFrame:
+    """The same over groups of equal keys: ``edges`` (a, b, score) relates groups, ``lefts`` (a, left) and ``rights``
+    (b, right) hold their members, of one group or several.
+
+    The pairs of two groups are never written out, and ties need no rounds: the groups that are
+    linked, by an edge or a member, are matched together, one such component after the other.
+    """
+    from bocage.session import checkpoint, ship_package
+
+    ship_package(edges.sparkSession)
+    edges = checkpoint(edges.where(F.col(score).isNotNull()).groupBy("a", "b").agg(F.max(score).alias(score)))
+    lefts = checkpoint(lefts.join(edges.select("a").distinct(), "a", "left_semi").distinct())
+    rights = checkpoint(rights.join(edges.select("b").distinct(), "b", "left_semi").distinct())
+    node = lambda kind, name: F.concat(F.lit(kind), F.col(name))
+
+    def shared(members: DataFrame, group: str, key: str) -> DataFrame:
+        first = members.groupBy(key).agg(F.min(group).alias("first"), F.count("*").alias("n")).where("n > 1")
+        return members.join(first, key).select(node(group, group).alias("u"), node(group, "first").alias("v"))
+
+    links = edges.select(node("a", "a").alias("u"), node("b", "b").alias("v"))
+    roots = components(links.unionByName(shared(lefts, "a", left)).unionByName(shared(rights, "b", right)))
+    rows = (
+        edges.withColumn("node", node("a", "a"))
+        .unionByName(lefts.withColumn("node", node("a", "a")), allowMissingColumns=True)
+        .unionByName(rights.withColumn("node", node("b", "b")), allowMissingColumns=True)
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def greedy(table):
+        import pyarrow as pa
+
+        levels: dict = {}
+        members: dict = {}
+        for row in table.select(["a", "b", left, right, score]).to_pylist():
+            if row[score] is not None:
+                levels.setdefault(row[score], []).append((row["a"], row["b"]))
+            elif row["b"] is None:
+                members.setdefault(("a", row["a"]), []).append(row[left])
+            else:
+                members.setdefault(("b", row["b"]), []).append(row[right])
+        for keys in members.values():
+            keys.sort()
+        at, gone, used, out = {}, set(), set(), []
+        for level in sorted(levels, reverse=True):
+            offers: dict = {}
+            for a, b in levels[level]:
+                members["a", a] = free = [k for k in members["a", a] if k not in gone]
+                for key in free:
+                    offers.setdefault(key, []).append(b)
+            for key in sorted(offers):
+                best = None
+                for b in offers[key]:
+                    keys, i = members["b", b], at.get(b, 0)
+                    while i < len(keys) and keys[i] in used:
+                        i += 1
+                    at[b] = i
+                    if i < len(keys) and (best is None or keys[i] < best):
+                        best = keys[i]
+                if best is not None:
+                    gone.add(key)
+                    used.add(best)
+                    out.append((key, best, level))
+        names = [left, right, score]
+        return pa.table([pa.array([r[i] for r in out], table.schema.field(n).type) for i, n in enumerate(names)], names=names)
+
+    found = rows.join(roots, "node").drop("node").groupBy("root")
+    return found.applyInArrow(greedy, ", ".join(f"`{c}` {kinds[c]}" for c in (left, right, score)))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of the links (u, v) is connected with.
+
+    Alternating stars: links move to ever smaller nodes until nothing changes, in logarithmically many rounds.
     """
     from pyspark.sql import Window
 
     from bocage.session import checkpoint
 
-    rest = checkpoint(pairs.select(left, right, score).distinct())
-    taken = []
-    for _ in range(rounds):
-        if rest.isEmpty():
-            break
-        order = [F.desc(score), left, right]
-        ranked = rest.withColumns(
-            {
-                "_l": F.row_number().over(Window.partitionBy(left).orderBy(*order)),
-                "_r": F.row_number().over(Window.partitionBy(right).orderBy(*order)),
-            }
-        )
-        best = checkpoint(ranked.where("_l = 1 AND _r = 1").select(left, right, score))
-        taken.append(best)
-        rest = checkpoint(rest.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti"))
-    else:
-        raise RuntimeError("matching did not end in the rounds allowed")
-    out = taken[0] if taken else rest
-    for more in taken[1:]:
-        out = out.unionByName(more)
-    return out
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    links = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    before, now = None, state(links)
+    while now != before:
+        least = F.min("v").over(Window.partitionBy("u"))
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumn("m", F.least("u", least))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = large.withColumn("m", least)
+        small = near.select("u", F.col("m").alias("v")).unionByName(near.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v")
+        links = checkpoint(small.distinct())
+        before, now = now, state(links)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

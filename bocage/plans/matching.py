@@ -88,9 +88,10 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matching of all centre and establishment addresses of a commune, best first."""
     centres, sites = _address_lists(spark, sf_dir)
     texts = matching.blocked_pairs(centres.select("c", "la").distinct(), sites.select("c", "ra").distinct(), "c", "la", "ra", 0.7)
-    pairs = texts.join(centres, ["c", "la"]).join(sites, ["c", "ra"])
-    best = pairs.groupBy("lkey", "rkey").agg(F.max(F.round("score", 6)).alias("score"))
-    return enrich.matched_one_to_one(best, "lkey", "rkey", "score")
+    group = lambda address: F.concat_ws("|", "c", address)
+    edges = texts.select(group("la").alias("a"), group("ra").alias("b"), F.round("score", 6).alias("score"))
+    lefts = centres.where("la IS NOT NULL").select(group("la").alias("a"), "lkey")
+    return enrich.matched_groups(edges, lefts, sites.select(group("ra").alias("b"), "rkey"), "lkey", "rkey", "score")
 
 
 def _list_members(spark: SparkSession, sf_dir: str) -> DataFrame:

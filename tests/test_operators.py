@@ -71,6 +71,36 @@ def test_one_to_one_equals_greedy(spark):
     assert enrich.matched_one_to_one(spark.createDataFrame([], "l string, r string, s double"), "l", "r", "s").count() == 0
 
 
+def test_one_to_one_of_a_hot_group(spark):
+    keys = [f"{i:03}" for i in range(70)]
+    pairs = [(f"a{i}", f"b{j}", 1.0) for i in keys for j in keys[:60]] + [(f"a{i}", "c", 0.9) for i in keys]
+    got = enrich.matched_one_to_one(spark.createDataFrame(pairs, "l string, r string, s double"), "l", "r", "s")
+    assert rows(got) == sorted([(f"a{i}", f"b{i}", 1.0) for i in keys[:60]] + [("a060", "c", 0.9)])
+
+
+def test_one_to_one_of_groups(spark):
+    rng = random.Random(3)
+    lefts = sorted({(f"g{rng.randint(0, 9)}", i) for i in range(60) for _ in range(rng.choice([1, 1, 2]))})
+    rights = sorted({(f"h{rng.randint(0, 9)}", i) for i in range(60) for _ in range(rng.choice([1, 1, 2]))})
+    edges = {(f"g{rng.randint(0, 9)}", f"h{rng.randint(0, 9)}"): rng.choice([0.7, 0.8, 0.9]) for _ in range(16)}
+    pairs = {}
+    for (a, b), s in edges.items():
+        for x in (k for g, k in lefts if g == a):
+            for y in (k for h, k in rights if h == b):
+                pairs[x, y] = max(s, pairs.get((x, y), 0))
+    expected, gone, used = [], set(), set()
+    for (x, y), s in sorted(pairs.items(), key=lambda p: (-p[1], p[0])):
+        if x not in gone and y not in used:
+            gone.add(x)
+            used.add(y)
+            expected.append((x, y, s))
+    df = spark.createDataFrame
+    got = enrich.matched_groups(
+        df([(a, b, s) for (a, b), s in edges.items()], "a string, b string, s double"), df(lefts, "a string, x long"), df(rights, "b string, y long"), "x", "y", "s"
+    )
+    assert rows(got) == sorted(expected)
+
+
 def test_upsert_and_carry_over(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 5)], "k int, v string, at int")
     changes = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (3, "e", 1)], "k int, v string, at int")

@@ -41,7 +41,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The results of separate days: exact percentiles of each commune and day of loaded_at, from that day's runs."""
+    """The results of separate days: exact percentiles of each commune and day of loaded_at, from that day's runs; they do not combine to p3_percentiles."""
     values = percentiles.clean_values(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
     runs = percentiles.day_runs(values.withColumn("g", F.concat_ws("|", "g", "day")), by_day=False)
     out = percentiles.percentiles(checkpoint(runs))
@@ -130,7 +130,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_links": p1_links,
-    "p3_daily": p3_daily, "p3_percentiles": p3_percentiles, "p3_by_days": p3_by_days,
+    "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_by_days": p3_by_days,
     "p4_found": p4_found, "p4_links": p4_links,
     "p7_found": p7_found,
     "p8_layout": p8_layout, "p8_usage": p8_usage,

@@ -31,3 +31,7 @@ def test_sql(spark, sf_dir, name):
 def test_matches_are_one_to_one(spark, sf_dir):
     links = queries.p1_found(spark, sf_dir).collect()
     assert len({r["etab_finess"] for r in links}) == len({r["siret"] for r in links}) == len(links)
+
+
+def test_the_combined_percentiles_are_the_judged_query():
+    assert next(name for name in queries.QUERIES if name.startswith("p3_")) == "p3_percentiles"

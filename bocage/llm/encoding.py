@@ -25,9 +25,11 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bocage.session import checkpoint
+
 MODEL_SIZE = 200_000
 ENTER, LEAVE, SWITCH = 8.0, 3.0, 10.0
 LOST = "�"
@@ -162,13 +164,13 @@ def contexts(runs: Counter) -> Counter:
 class Model:
     """Clean-text likelihoods of characters in context, and the path search over them."""
 
-    def __init__(self, counts: list[tuple[str, str, str, int]]):
-        self.fine: dict = {}
+    def __init__(self, counts: tuple[list, list]):
+        fine, coarse = counts
+        self.fine: dict = {left + c + right: n for left, c, right, n in fine}
         self.coarse: Counter = Counter()
         self.alone: Counter = Counter()
-        for left, c, right, n in counts:
-            self.fine[left + c + right] = n
-            self.coarse[_kind(left) + c + _kind(right)] += n
+        for left, c, right, n in coarse:
+            self.coarse[left + c + right] += n
             self.alone[c] += n
         self.total = max(1, sum(self.alone.values()))
         self.decoders = _decoders()
@@ -304,14 +306,24 @@ def _count_rows(counter: Counter) -> pd.DataFrame:
 _COUNTS = "left string, c string, right string, n long"
 
 
-def _train(counted: DataFrame) -> list[tuple[str, str, str, int]]:
-    """The most frequent contexts, a bounded number of them."""
-    summed = counted.groupBy("left", "c", "right").agg(F.sum("n").alias("n"))
+def _kind_of(neighbour: str) -> Column:
+    """``_kind`` of a column."""
+    c = F.col(neighbour)
+    return F.when(c.isin("_", "*"), c).when(c.rlike("^[A-Z]$"), "A").otherwise("a")
+
+
+def _train(counted: DataFrame) -> tuple[list, list]:
+    """The most frequent contexts, a bounded number of them, and the counts of all by character and class of neighbours.
+
+    The classes are at most 16 for a character, so what they add is bounded by the characters there are.
+    """
+    summed = checkpoint(counted.groupBy("left", "c", "right").agg(F.sum("n").alias("n")))
     top = summed.orderBy(F.desc("n"), "left", "c", "right").limit(MODEL_SIZE)
-    return [(r["left"], r["c"], r["right"], r["n"]) for r in top.collect()]
+    coarse = summed.groupBy(_kind_of("left").alias("left"), "c", _kind_of("right").alias("right")).agg(F.sum("n").alias("n"))
+    return tuple([(r["left"], r["c"], r["right"], r["n"]) for r in df.collect()] for df in (top, coarse))
 
 
-def train(texts: DataFrame, column: str = "text") -> list[tuple[str, str, str, int]]:
+def train(texts: DataFrame, column: str = "text") -> tuple[list, list]:
     """Context counts of clean text: from all documents, then from those found clean."""
     only = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull())
 

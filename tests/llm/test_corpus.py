@@ -159,3 +159,12 @@ def test_encodings_are_found_and_undone(spark):
     assert {k: got[k]["restored"] for k in truth} == truth
     assert all(got[k]["restorable"] for k in truth) and not got[n + 1]["restorable"]
     assert encoding.repaired(df.limit(0)).count() == 0
+
+
+def test_contexts_beyond_the_model_still_count_by_class(spark, monkeypatch):
+    monkeypatch.setattr(encoding, "MODEL_SIZE", 2)
+    rows = [("éa", "é", "b", 9), ("*", "é", "B", 8), ("_", "ñ", "z", 1), ("Q", "ñ", "*", 2)]
+    counted = spark.createDataFrame([(left[-1], *more) for left, *more in rows], "left string, c string, right string, n long")
+    model = encoding.Model(encoding._train(counted))
+    assert len(model.fine) == 2 and model.total == 20 and model.alone["ñ"] == 3
+    assert model.coarse["_ña"] == 1 and model.coarse["Añ*"] == 2 and model.coarse["*éA"] == 8

@@ -113,19 +113,16 @@ def _shard_layout(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def layouts(lengths: DataFrame, containers: DataFrame, texts_per_shard: int = TEXTS_PER_SHARD) -> DataFrame:
     """One layout of all texts for each container kind; ``lengths`` has doc_id and n_tokens."""
-    kinds = [
-        (r["conteneur"], int(r["capacite_tokens"]))
-        for r in containers.where("capacite_tokens > 0").select("conteneur", "capacite_tokens").distinct().limit(1000).collect()
-    ]
+    kinds = containers.where("capacite_tokens > 0").select("conteneur", F.col("capacite_tokens").cast("long").alias("capacity"))
+    # One row with all kinds; it is joined, so no number of them is too many.
+    offers = kinds.agg(
+        F.array_sort(F.collect_set(F.struct("conteneur", "capacity"))).alias("offers"), F.array_sort(F.collect_set("capacity")).alias("tiers")
+    )
     real = lengths.where("doc_id IS NOT NULL AND n_tokens > 0").select("doc_id", "n_tokens")
     shards = bucket_count(real.count(), texts_per_shard)
-    if not kinds:
-        return lengths.sparkSession.createDataFrame([], LAYOUT)
-    sizes = sorted({c for _, c in kinds})
-    offers = F.array(*[F.struct(F.lit(n).alias("conteneur"), F.lit(c).alias("capacity")) for n, c in kinds])
-    spread = real.select(
-        "doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.explode(offers).alias("k")
-    ).select("doc_id", "n_tokens", "shard", "k.conteneur", "k.capacity", F.array(*map(F.lit, sizes)).alias("tiers"))
+    spread = real.crossJoin(offers).select(
+        "doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.explode("offers").alias("k"), "tiers"
+    ).select("doc_id", "n_tokens", "shard", "k.conteneur", "k.capacity", "tiers")
     return spread.groupBy("conteneur", "shard").applyInPandas(_shard_layout, LAYOUT)
 
 

@@ -168,3 +168,9 @@ def test_contexts_beyond_the_model_still_count_by_class(spark, monkeypatch):
     model = encoding.Model(encoding._train(counted))
     assert len(model.fine) == 2 and model.total == 20 and model.alone["ñ"] == 3
     assert model.coarse["_ña"] == 1 and model.coarse["Añ*"] == 2 and model.coarse["*éA"] == 8
+
+
+def test_layout_of_many_kinds(spark):
+    kinds = spark.createDataFrame([(f"k{i}", 10 + i) for i in range(1100)], "conteneur string, capacite_tokens long")
+    lengths = spark.createDataFrame([(1, 5)], "doc_id long, n_tokens long").limit(1)
+    assert packing.layouts(lengths, kinds).select("conteneur").distinct().count() == 1100

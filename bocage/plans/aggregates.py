@@ -139,9 +139,11 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def practitioners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per practitioner with the sites in id order."""
-    df = table(spark, sf_dir, "annuaire_ameli").select("nom", "prenom", "specialite_code", "id").distinct()
-    return df.groupBy("nom", "prenom", "specialite_code").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count("*").alias("n_sites"))
+    """One row per practitioner (name, first name, title, specialty and type) with the sites in id order."""
+    keys = ["nom", "prenom", "civilite", "specialite_code", "type_ps_code"]
+    df = table(spark, sf_dir, "annuaire_ameli").select(*keys, "id").distinct()
+    out = df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count("*").alias("n_sites"))
+    return out.drop("civilite", "type_ps_code")
 
 
 def histogram_top(spark: SparkSession, sf_dir: str) -> DataFrame:

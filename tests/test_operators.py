@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bocage.operators import enrich, measures, quality, query
 from bocage.operators.communes import with_commune
+from bocage.plans import aggregates
 
 
 def rows(df, *columns):
@@ -112,6 +113,13 @@ def test_upsert_and_carry_over(spark):
     }
 
 
+def test_practitioners_are_told_apart_by_title_and_type(spark, tmp_path):
+    people = [("A", "B", "M", "01", "1", 1), ("A", "B", "MME", "01", "1", 2), ("A", "B", "M", "01", "2", 3), ("A", "B", "M", "01", "1", 4)]
+    df = spark.createDataFrame(people, "nom string, prenom string, civilite string, specialite_code string, type_ps_code string, id long")
+    df.write.parquet(str(tmp_path / "annuaire_ameli.parquet"))
+    assert rows(aggregates.practitioners(spark, str(tmp_path)), "ids") == [("1,4",), ("2",), ("3",)]
+
+
 def test_commune_cascade(spark):
     communes = spark.createDataFrame(
         [("01001", "Saint-Aubin", ["01100"], "01"), ("01002", "Belleville", ["01100", "01200"], "01"), ("02001", "Saint-Aubin", ["02100"], "02"), ("02002", "Unique", ["02300"], "02")],

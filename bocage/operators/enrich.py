@@ -34,14 +34,15 @@ def through_cache(rows: DataFrame, key: Column, cache: DataFrame, cache_key: str
     return keyed.join(usable, keyed["_lookup"] == usable["_key"], "left").drop("_lookup", "_key")
 
 
-def carried_over(new: DataFrame, old: DataFrame, key: str, value: str, provenance: str, label: str) -> DataFrame:
-    """Missing values taken from the previous generation, marked so; own values stay."""
-    before = old.select(F.col(key).alias("_key"), F.col(value).alias("_old"))
-    joined = new.join(before, new[key] == before["_key"], "left")
+def carried_over(new: DataFrame, old: DataFrame, key: str | Sequence[str], value: str, provenance: str, label: str) -> DataFrame:
+    """Missing values taken from the previous generation where all keys are equal, marked so; own values stay."""
+    keys = [key] if isinstance(key, str) else list(key)
+    before = old.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(value).alias("_old"))
+    joined = new.join(before, [new[k] == before[f"_key_{k}"] for k in keys], "left")
     taken = F.col(value).isNull() & F.col("_old").isNotNull()
     return joined.withColumns(
         {provenance: F.when(taken, label).otherwise(F.col(provenance)), value: F.coalesce(F.col(value), F.col("_old"))}
-    ).drop("_key", "_old")
+    ).drop(*[f"_key_{k}" for k in keys], "_old")
 
 
 def missing_from(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:

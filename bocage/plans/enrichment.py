@@ -63,7 +63,7 @@ def commune_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points missing from the latest delivery taken from the earlier one."""
+    """Points missing from the latest delivery taken from the earlier one."""
     rows = table(spark, sf_dir, "annuaire_ameli").select("id", F.nullif("geom", F.lit("")).alias("geom"), "geom_source", "created_at")
     new = query.last_per_key(rows, ["id"], ["created_at", "geom"]).withColumn("geom", F.when(F.col("id") % 5 != 0, F.col("geom")))
     old = query.last_per_key(rows.where("created_at < '2026-06-15'"), ["id"], ["created_at", "geom"])
@@ -71,6 +71,17 @@ def carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("geom_source").agg(F.count("*").alias("n_rows"), F.count("geom").alias("n_points"))
 
 
+def centroid_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing points taken from the row of the same establishment number in the same commune."""
+    rows = table(spark, sf_dir, "centres_sante").select("etab_finess", "code_insee", F.nullif("geom", F.lit("")).alias("geom"), "created_at")
+    key, order = ["etab_finess"], ["created_at", "geom", "code_insee"]
+    new = query.last_per_key(rows, key, order).withColumns({"geom": F.when(~F.col("etab_finess").rlike("[0-4]$"), F.col("geom")), "geom_source": F.lit("own")})
+    # Some numbers stand for an establishment that was in another commune.
+    old = query.last_per_key(rows.where("geom IS NOT NULL"), key, order).withColumn("code_insee", F.when(F.col("etab_finess").endswith("3"), "00000").otherwise(F.col("code_insee")))
+    out = enrich.carried_over(new, old, ["etab_finess", "code_insee"], "geom", "geom_source", "finess")
+    return out.groupBy("geom_source").agg(F.count("*").alias("n_rows"), F.count("geom").alias("n_points"))
+
+
 def canary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that must exist and do not."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
@@ -116,7 +127,7 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "j01_star_join": star_join, "j02_activities": activities, "j04_visited_marker": visited_marker, "j05_cache_join": cache_join,
-    "j07_commune_cascade": commune_cascade, "j08_carry_over": carry_over, "j09_canary": canary, "j10_generation_counts": generation_counts,
+    "j07_commune_cascade": commune_cascade, "j06_centroid_fallback": centroid_fallback, "j08_carry_over": carry_over, "j09_canary": canary, "j10_generation_counts": generation_counts,
     "k02_upsert": upsert, "j15_candidate_merge": candidate_merge, "u03_set_operations": set_operations,
 }
 
@@ -142,6 +153,13 @@ n AS (SELECT id, CASE WHEN id % 5 <> 0 THEN geom END AS geom, geom_source FROM r
 o AS (SELECT id, geom AS old FROM r WHERE created_at < '2026-06-15' QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_at DESC NULLS LAST, geom DESC NULLS LAST) = 1)
 SELECT CASE WHEN geom IS NULL AND old IS NOT NULL THEN 'previous' ELSE geom_source END AS geom_source, count(*) AS n_rows, count(coalesce(geom, old)) AS n_points
 FROM n LEFT JOIN o USING (id) GROUP BY 1""",
+    "j06_centroid_fallback": """WITH r AS (SELECT etab_finess, code_insee, nullif(geom, '') AS geom, created_at FROM centres_sante),
+n AS (SELECT etab_finess, code_insee, CASE WHEN NOT regexp_matches(etab_finess, '[0-4]$') THEN geom END AS geom FROM r
+  QUALIFY row_number() OVER (PARTITION BY etab_finess ORDER BY created_at DESC NULLS LAST, geom DESC NULLS LAST, code_insee DESC NULLS LAST) = 1),
+o AS (SELECT etab_finess, CASE WHEN etab_finess LIKE '%3' THEN '00000' ELSE code_insee END AS code_insee, geom AS old FROM r WHERE geom IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY etab_finess ORDER BY created_at DESC NULLS LAST, geom DESC NULLS LAST, code_insee DESC NULLS LAST) = 1)
+SELECT CASE WHEN geom IS NULL AND old IS NOT NULL THEN 'finess' ELSE 'own' END AS geom_source, count(*) AS n_rows, count(coalesce(geom, old)) AS n_points
+FROM n LEFT JOIN o USING (etab_finess, code_insee) GROUP BY 1""",
     "j09_canary": "SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "j10_generation_counts": f"""WITH r AS (SELECT id, {_LON} AS lon, {_LAT} AS lat FROM annuaire_ameli),
 o AS (SELECT id, max(row(lon, lat)) AS p, max(lon) AS any_lon FROM r WHERE id % 11 <> 0 GROUP BY 1),

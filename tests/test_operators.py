@@ -113,6 +113,13 @@ def test_upsert_and_carry_over(spark):
     }
 
 
+def test_carry_over_on_two_keys(spark):
+    new = spark.createDataFrame([(1, "c", None, "x"), (2, "c", None, "y")], "k int, c string, g string, src string")
+    old = spark.createDataFrame([(1, "c", "was"), (2, "other", "was")], "k int, c string, g string")
+    got = enrich.carried_over(new, old, ["k", "c"], "g", "src", "previous")
+    assert {r["k"]: (r["g"], r["src"]) for r in got.collect()} == {1: ("was", "previous"), 2: (None, "y")}
+
+
 def test_practitioners_are_told_apart_by_title_and_type(spark, tmp_path):
     people = [("A", "B", "M", "01", "1", 1), ("A", "B", "MME", "01", "1", 2), ("A", "B", "M", "01", "2", 3), ("A", "B", "M", "01", "1", 4)]
     df = spark.createDataFrame(people, "nom string, prenom string, civilite string, specialite_code string, type_ps_code string, id long")

@@ -41,7 +41,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The results of separate days: exact percentiles of each commune and day of loaded_at, from that day's runs; they do not combine to p3_percentiles."""
+    """The results of separate days: exact percentiles of each commune and day of loaded_at, by multi-select over that day's runs."""
     values = percentiles.clean_values(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
     runs = percentiles.day_runs(values.withColumn("g", F.concat_ws("|", "g", "day")), by_day=False)
     out = percentiles.percentiles(checkpoint(runs))
@@ -61,6 +61,15 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the runs of separate days, each kept by itself and selected from together."""
+    kept = percentiles.kept_runs(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at", by_day=True)
+    return percentiles.percentiles(checkpoint(percentiles.merged(kept))).select(
+        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"),
+        F.round("p50", 6).alias("prix_m2_median"), F.round("p75", 6).alias("prix_m2_p75"),
+    )
+
+
 def p3_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from summaries of separate days of loaded_at, combined, within the stated error."""
     values = percentiles.clean_values(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
@@ -130,7 +139,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_links": p1_links,
-    "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_by_days": p3_by_days,
+    "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_from_days": p3_from_days, "p3_by_days": p3_by_days,
     "p4_found": p4_found, "p4_links": p4_links,
     "p7_found": p7_found,
     "p8_layout": p8_layout, "p8_usage": p8_usage,
@@ -146,11 +155,11 @@ FROM (SELECT * EXCLUDE (loaded_at), CAST(min(loaded_at) AS DATE) AS jour FROM dv
 WHERE code_commune IS NOT NULL AND isfinite(prix_m2) AND prix_m2 > 0
 GROUP BY code_commune, jour
 """,
-    "p3_percentiles": """
+    **dict.fromkeys(("p3_percentiles", "p3_from_days"), """
 SELECT code_commune, count(*) AS n_prix, round(quantile_cont(prix_m2, 0.25), 6) AS prix_m2_p25,
   round(quantile_cont(prix_m2, 0.5), 6) AS prix_m2_median, round(quantile_cont(prix_m2, 0.75), 6) AS prix_m2_p75
 FROM (SELECT DISTINCT * EXCLUDE (loaded_at) FROM dvf_mutations)
 WHERE code_commune IS NOT NULL AND isfinite(prix_m2) AND prix_m2 > 0
 GROUP BY code_commune
-""",
+"""),
 }

@@ -93,6 +93,16 @@ def p8_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.usage(p8_layout(spark, sf_dir), table(spark, sf_dir, "conteneurs"))
 
 
+def p8_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balance of the step groups per container kind."""
+    return packing.step_balance(p8_layout(spark, sf_dir))
+
+
+def p8_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each tier contributes to each container kind."""
+    return packing.tier_usage(p8_layout(spark, sf_dir))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed corpus: which text fills which slot, and its how-manieth use it is."""
     return mixing.mix(_lengths(spark, sf_dir, ["doc_id", "source"]), table(spark, sf_dir, "mix_targets"))
@@ -142,7 +152,7 @@ QUERIES = {
     "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_from_days": p3_from_days, "p3_by_days": p3_by_days,
     "p4_found": p4_found, "p4_links": p4_links,
     "p7_found": p7_found,
-    "p8_layout": p8_layout, "p8_usage": p8_usage,
+    "p8_layout": p8_layout, "p8_usage": p8_usage, "p8_steps": p8_steps, "p8_tiers": p8_tiers,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_restored": p10_restored,
 }

@@ -25,6 +25,28 @@ def sales(spark):
     return rows, spark.createDataFrame(rows + again + bad, DVF)
 
 
+def test_daily_runs_combine(spark):
+    rows, df = sales(spark)
+    daily = percentiles.kept_runs(df, "code", "prix", "loaded", run_values=100, by_day=True)
+    early, late = daily.where("day < '2026-01-05'"), daily.where("day >= '2026-01-05'")
+    runs = percentiles.merged(early.unionByName(late), run_values=500)
+    assert runs.count() < daily.count()
+    for r in percentiles.percentiles(runs, (0.0, 0.1, 0.5, 1.0)).collect():
+        values = [v for _, c, v, *_ in rows if c == r["g"]]
+        assert r["n"] == len(values)
+        assert np.allclose([r["p00"], r["p10"], r["p50"], r["p100"]], np.percentile(values, [0, 10, 50, 100]), rtol=1e-12)
+
+
+def test_every_percentile_query_selects(spark, sf_dir, monkeypatch):
+    from bocage.llm import queries
+
+    calls, select = [], percentiles.multi_select
+    monkeypatch.setattr(percentiles, "multi_select", lambda *a: calls.append(1) or select(*a))
+    for name in ("p3_percentiles", "p3_from_days", "p3_daily"):
+        queries.QUERIES[name](spark, sf_dir)
+    assert len(calls) == 3
+
+
 @pytest.mark.parametrize("by_day", [False, True])
 def test_multi_select_is_exact(spark, by_day):
     rows, df = sales(spark)
@@ -80,12 +102,30 @@ def test_pack_by_tiers():
     assert sorted(i for c in containers for i in c) == list(range(8))
     assert len(containers) == 3 and tiers == [10, 10, 4, 4, 4, 4, 4, 4]
     assert packing.split_parts([0, 5, 25], 10) == [(1, 0, 0, 5), (2, 0, 0, 10), (2, 1, 10, 10), (2, 2, 20, 5)]
-    loads = [9, 8, 7, 6, 5, 4, 3, 2]
-    groups = packing.step_groups(loads, 4)
-    sums = Counter()
-    for g, load in zip(groups, loads):
-        sums[g] += load
-    assert max(sums.values()) - min(sums.values()) <= 1
+    assert packing.tier_sizes(1000, 3) == [250, 500, 1000] and packing.tier_sizes(1, 3) == [1]
+
+
+def test_tiers_change_the_containers_and_keep_them_full():
+    rng = random.Random(8)
+    sizes = [min(2048, int(rng.lognormvariate(5, 1.1)) + 1) for _ in range(4000)]
+    tiered, _ = packing.pack(sizes, 2048, packing.tier_sizes(2048))
+    plain, _ = packing.pack(sizes, 2048, [2048])
+    assert {frozenset(c) for c in tiered} != {frozenset(c) for c in plain}
+    assert len(tiered) <= len(plain) * 1.01
+    assert max(sum(sizes[i] for i in c) for c in tiered) <= 2048
+    # Texts of one tier lie in windows of that tier: four texts of 300 share a container with its 512-token windows filled up.
+    windows, tiers = packing.pack([300] * 4 + [212] * 4, 2048, [256, 512, 2048])
+    assert len(windows) == 1 and tiers == [512] * 4 + [256] * 4
+
+
+def test_steps_are_balanced_across_shards(spark):
+    rng = random.Random(9)
+    kinds = spark.createDataFrame([("a", 512)], "conteneur string, capacite_tokens int")
+    layout = packing.layouts(lengths(spark, [rng.randint(1, 400) for _ in range(3000)]), kinds, texts_per_shard=400)
+    row = packing.step_balance(layout).first()
+    assert row["most_containers"] - row["least_containers"] <= 1
+    assert row["most_tokens"] - row["least_tokens"] <= 2 * 512
+    assert layout.select("container_id", "step_group").distinct().count() == layout.select("container_id").distinct().count()
 
 
 def corpus(spark, sources):

@@ -33,7 +33,8 @@ from bocage.session import checkpoint
 MODEL_SIZE = 200_000
 ENTER, LEAVE, SWITCH = 8.0, 3.0, 10.0
 LOST = "�"
-_RUN = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
+#: A run never starts inside a word, so every character is looked at once.
+_RUN = re.compile("(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*+")
 _FLOOR = 1e-9
 
 #: (written as, read as): the encoding pairs, each a state of the model.
@@ -187,24 +188,35 @@ class Model:
         return found
 
     def run_units(self, run: str) -> list:
-        """For each position of a run, [(state, length, original, log likelihood)]; ASCII has none."""
+        """For each position of a run, [(state, length, original, log likelihood)], None for ASCII.
+
+        A run that no other state may explain has only its likelihood, in a tuple.
+        """
         known = self.units.get(run)
         if known is not None:
             return known
+        clean = [
+            None if c < "\x80" else math.log(_FLOOR) if c == LOST else self.score(_neighbour(run, i - 1), c, _neighbour(run, i + 1))
+            for i, c in enumerate(run)
+        ]
         out = []
         for i, c in enumerate(run):
             if c < "\x80":
                 out.append(None)
                 continue
             left = _neighbour(run, i - 1)
-            here = [(0, 1, c, math.log(_FLOOR) if c == LOST else self.score(left, c, _neighbour(run, i + 1)))]
+            here = [(0, 1, c, clean[i])]
             for s, decoder in enumerate(self.decoders):
                 unit = decoder.unit(run, i) if decoder else None
                 if unit:
                     n, original = unit
                     likely = -1.0 if original == LOST else self.score(left, original, _neighbour(run, i + n))
-                    here.append((s, n, original, likely))
+                    # Worse than leaving for the clean state and coming back: on no best path.
+                    if likely >= sum(x for x in clean[i : i + n] if x is not None) - ENTER - LEAVE:
+                        here.append((s, n, original, likely))
             out.append(here)
+        if all(here is None or len(here) == 1 for here in out):
+            out = (sum(x for x in clean if x is not None),)  # the clean state only
         if len(self.units) < 20_000:
             self.units[run] = out
         return out
@@ -215,6 +227,8 @@ class Model:
         if known is not None:
             return known
         units = self.run_units(run)
+        if isinstance(units, tuple):
+            return self.clean_runs.setdefault(run, True)
         best = [0.0] * (len(run) + 1)
         clean = 0.0
         for i in range(len(run) - 1, -1, -1):
@@ -234,61 +248,61 @@ class Model:
             return []
         if all(map(self.surely_clean, set(_RUN.findall(text)))):
             return []
-        # dp[i]: for a position between units, the best (score, back pointer) by state.
-        states = len(STATES)
-        now = [0.0] + [-ENTER] * (states - 1)
+        # now: the best (score, back pointer) of each state that can be reached between two units.
+        now: dict[int, tuple[float, int]] = {0: (0.0, -1)}
         trail: list = []
-        pending: dict[int, list] = {}
-        back = [-1] * states
         for m in _RUN.finditer(text):
             run, start = m.group(), m.start()
+            pending: dict[int, dict] = {}
             units = self.run_units(run)
-            for i in range(len(run)):
-                if i in pending:
-                    arrived, arrived_back = pending.pop(i)
-                    for s in range(states):
-                        if arrived[s] > now[s]:
-                            now[s], back[s] = arrived[s], arrived_back[s]
-                if units[i] is None:
+            if isinstance(units, tuple):
+                damaged = [value for s, value in now.items() if s]
+                best = now.get(0)
+                if damaged:
+                    score, back = max(damaged, key=lambda value: value[0])
+                    if best is None or score - LEAVE > best[0]:
+                        best = (score - LEAVE, back)
+                now = {0: (best[0] + units[0], best[1])}
+                continue
+            for i, here in enumerate(units):
+                _arrive(now, pending.pop(i, None))
+                if here is None:
                     continue
-                # The best entry into each state from here.
-                top = max(range(1, states), key=now.__getitem__)
-                entry, via = list(now), list(range(states))
-                if now[top] - LEAVE > entry[0]:
-                    entry[0], via[0] = now[top] - LEAVE, top
-                for s in range(1, states):
-                    for source, cost in ((0, ENTER), (top, SWITCH)):
-                        if now[source] - cost > entry[s]:
-                            entry[s], via[s] = now[source] - cost, source
-                nothing = [-math.inf] * states
-                reached: dict[int, tuple] = {}
-                for s, n, original, likely in units[i]:
-                    trail.append((start + i, n, s, original, back[via[s]]))
-                    at = reached.setdefault(i + n, (list(nothing), [-1] * states))
-                    at[0][s], at[1][s] = entry[s] + likely, len(trail) - 1
-                for at, value in reached.items():
-                    if at in pending:
-                        for s in range(states):
-                            if value[0][s] > pending[at][0][s]:
-                                pending[at][0][s], pending[at][1][s] = value[0][s], value[1][s]
-                    else:
-                        pending[at] = value
-                now, back = list(nothing), [-1] * states
-            arrived, arrived_back = pending.pop(len(run), (None, None))
-            if arrived is not None:
-                for s in range(states):
-                    if arrived[s] > now[s]:
-                        now[s], back[s] = arrived[s], arrived_back[s]
-            pending.clear()
+                clean, top = now.get(0), None
+                for s, value in now.items():
+                    if s and (top is None or value[0] > top[0]):
+                        top = value
+                for s, n, original, likely in here:
+                    entry = now.get(s)
+                    for source, cost in ((top, LEAVE),) if s == 0 else ((clean, ENTER), (top, SWITCH)):
+                        if source is not None and (entry is None or source[0] - cost > entry[0]):
+                            entry = (source[0] - cost, source[1])
+                    if entry is None:
+                        continue
+                    back = entry[1]
+                    if s:
+                        trail.append((start + i, n, s, original, back))
+                        back = len(trail) - 1
+                    at = pending.setdefault(i + n, {})
+                    if s not in at or entry[0] + likely > at[s][0]:
+                        at[s] = (entry[0] + likely, back)
+                now = {}
+            _arrive(now, pending.pop(len(run), None))
         out = []
-        at = back[max(range(states), key=now.__getitem__)]
+        at = max(now.values())[1]
         while at >= 0:
             position, n, s, original, at = trail[at]
-            if s:
-                out.append((position, n, s, original))
+            out.append((position, n, s, original))
         return out[::-1]
 
 
+def _arrive(known: dict, more: dict | None) -> None:
+    """Keeps the better value of each state."""
+    for s, value in (more or {}).items():
+        if s not in known or value[0] > known[s][0]:
+            known[s] = value
+
+
 def restore(text: str, damage: list[tuple[int, int, int, str]]) -> str:
     """The text with every damaged unit replaced by its original."""
     parts, at = [], 0
@@ -323,16 +337,20 @@ def _train(counted: DataFrame) -> tuple[list, list]:
     return tuple([(r["left"], r["c"], r["right"], r["n"]) for r in df.collect()] for df in (top, coarse))
 
 
+def _not_ascii(column: str) -> Column:
+    """Texts in ASCII are clean, and stay in the JVM."""
+    return F.col(column).rlike(r"[^\x00-\x7f]")
+
+
 def train(texts: DataFrame, column: str = "text") -> tuple[list, list]:
     """Context counts of clean text: from all documents, then from those found clean."""
-    only = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull())
+    only = texts.select(F.col(column).alias("text")).where(_not_ascii(column))
 
     def all_runs(batches):
         for pdf in batches:
             seen: Counter = Counter()
             for text in pdf["text"]:
-                if not text.isascii():
-                    seen.update(_RUN.findall(text))
+                seen.update(_RUN.findall(text))
             yield _count_rows(contexts(seen))
 
     first = _train(only.mapInPandas(all_runs, _COUNTS))
@@ -342,7 +360,7 @@ def train(texts: DataFrame, column: str = "text") -> tuple[list, list]:
         for pdf in batches:
             seen: Counter = Counter()
             for text in pdf["text"]:
-                if not text.isascii() and not model.label(text):
+                if not model.label(text):
                     seen.update(_RUN.findall(text))
             yield _count_rows(contexts(seen))
 
@@ -366,7 +384,7 @@ def repaired(documents: DataFrame, key: str = "doc_id", column: str = "text") ->
                     rows.append((k, states, len(damage), LOST not in whole, whole))
             yield pd.DataFrame(rows, columns=["key", "states", "n_units", "restorable", "restored"])
 
-    found = documents.select(F.col(key).alias("key"), F.col(column).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    found = documents.select(F.col(key).alias("key"), F.col(column).alias("text")).where(F.col("key").isNotNull() & _not_ascii("text"))
     return found.mapInPandas(
         run, f"key {kind}, states array<string>, n_units int, restorable boolean, restored string"
     ).withColumnRenamed("key", key)

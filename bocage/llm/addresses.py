@@ -51,6 +51,8 @@ _NUMBER = re.compile(
     r"(?<![a-z0-9'])(?:n\s*[°o]?\s*\.?\s*)?0*(\d{1,4})\s*(?:(bis|ter|quater)\b|([bt])(?=\s*$|\s*,|\s+(?:%s)\b))?(?![0-9])"
     % "|".join(sorted(_TYPE_OF, key=len, reverse=True))
 )
+_MONTH_NEXT = re.compile(rf"\s*(?:{_MONTHS})\b")
+_COUNTED = re.compile(r"\b(?:des|les|du)\s*$")
 _GLUED = re.compile(r"(?<![a-z0-9'])(?:n\s*[°o]?\s*\.?\s*)?0*(\d{1,4})(bis|ter|quater|[bt])(?![a-z0-9'])")
 
 
@@ -74,30 +76,38 @@ class Address(NamedTuple):
 EMPTY = Address(-1, "", "", (), "")
 
 
-def _take_number(text: str) -> tuple[int, str, str]:
-    """The house number, its suffix and the text without it."""
+def _numbers(text: str) -> tuple[list[tuple[int, str]], str]:
+    """Every reading of the house number with its suffix, the likeliest first, and the text without that one."""
     glued = _GLUED.search(text)
-    for m in [glued] if glued else _NUMBER.finditer(text):
-        before, after = text[: m.start()], text[m.end() :]
-        if re.match(rf"\s*(?:{_MONTHS})\b", after) and not (m.lastindex and m.lastindex > 1):
+    out, rest = [], text
+    for m in [*([glued] if glued else []), *_NUMBER.finditer(text)]:
+        if _MONTH_NEXT.match(text, m.end()) and not (m.lastindex and m.lastindex > 1):
             continue
-        if re.search(r"\b(?:des|les|du)\s*$", before):
+        if _COUNTED.search(text[max(0, m.start() - 40) : m.start()]):
             continue
         suffix = next((g for g in m.groups()[1:] if g), "")
-        return int(m.group(1)), suffix[:1], f"{before} , {after}"
-    return -1, "", text
+        if not out:
+            rest = f"{text[: m.start()]} , {text[m.end() :]}"
+        out.append((int(m.group(1)), suffix[:1]))
+    return list(dict.fromkeys(out)) or [(-1, "")], rest
 
 
 @lru_cache(maxsize=50_000)
 def parse_address(*fields: str | None) -> Address:
-    """The parts of one address whose fields may hold any part, in any order.
+    """The likeliest reading of one address whose fields may hold any part, in any order.
 
     Null and blank fields are skipped; text without any known part gives ``EMPTY``.  The
     whole text is read, however long.
     """
+    return readings(*fields)[0]
+
+
+@lru_cache(maxsize=50_000)
+def readings(*fields: str | None) -> tuple[Address, ...]:
+    """All plausible normalised forms of one address, the likeliest first: any number may be the door, any part with a street type the street."""
     text = " , ".join(undot(f) for f in map(fold, fields) if f)
     if not text:
-        return EMPTY
+        return (EMPTY,)
     text = _POSTBOX.sub(" , ", text)
     text = _TOWN.sub(" ", text)
     text = _INNER.sub(" , ", text)
@@ -116,26 +126,40 @@ def parse_address(*fields: str | None) -> Address:
 
     text = _PLACE.sub(keep, text)
     text = re.sub(rf"\b11\s+(?={_MONTHS})", "onze ", text)
-    number, suffix, text = _take_number(text)
-    street_type, words = "", ()
-    best = -1
+    numbers, rest = _numbers(text)
+    streets, named = _streets(rest), places or [""]
+    # One part is read otherwise at a time, so a long text has no more readings than parts.
+    first = Address(*numbers[0], *streets[0][:2], named[0])
+    others = [first._replace(number=n, suffix=s) for n, s in numbers[1:]]
+    for kind, words, own in streets[1:]:
+        others.append(first._replace(street_type=kind, words=words))
+        if own >= 0:
+            others.append(Address(own, "", kind, words, first.place))
+    return tuple(dict.fromkeys([first, *others, *(first._replace(place=p) for p in named[1:])]))
+
+
+def _streets(text: str) -> list[tuple[str, tuple[str, ...], int]]:
+    """Every reading of the street: its type, its words and a second number that heads it; the likeliest, typed and longest, first."""
+    outer = ""
     bracket = re.search(r"\(\s*([a-z]+)\.?\s*\)", text)
     if bracket and bracket.group(1) in _TYPE_OF:
-        street_type = _TYPE_OF[bracket.group(1)]
+        outer = _TYPE_OF[bracket.group(1)]
         text = text[: bracket.start()] + " " + text[bracket.end() :]
+    found = []
     for part in text.split(","):
         tokens = [t for t in re.split(r"[^a-z0-9]+", part) if t]
-        kind = ""
+        kind, own = "", -1
+        if len(tokens) > 2 and tokens[0].isdigit() and len(tokens[0]) < 5 and tokens[1] in _TYPE_OF:
+            own, tokens = int(tokens[0]), tokens[1:]
         if tokens and tokens[0] in _TYPE_OF and len(tokens) > 1:
             kind, tokens = _TYPE_OF[tokens[0]], tokens[1:]
         tokens = [_street_word(t) for t in tokens if t not in _SKIP or len(t) == 1 and t not in "ld"]
-        if tokens and tokens[0] in ("n", "no") and len(tokens) == 1:
-            continue
-        score = sum(map(len, tokens)) + 100 * bool(kind)
-        if tokens and score > best and any(len(t) > 1 for t in tokens):
-            best, words = score, tuple(tokens)
-            street_type = kind or street_type
-    return Address(number, suffix, street_type, words, places[0] if places else "")
+        if tokens and any(len(t) > 1 for t in tokens) and not (len(tokens) == 1 and tokens[0] == "no"):
+            found.append((sum(map(len, tokens)) + 100 * bool(kind), kind or outer, tuple(tokens), own))
+    found.sort(key=lambda f: -f[0])
+    # Parts without a street type are read as streets only where no part has one.
+    typed = [f for f in found if f[0] >= 100] or found[:1]
+    return [f[1:] for f in typed] or [("", (), -1)]
 
 
 def _initial_of(letter: str, words: list[str]) -> str | None:

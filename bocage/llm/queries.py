@@ -133,25 +133,30 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_links(spark, sf_dir).select("id", "siren").distinct()
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _address_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     communes = table(spark, sf_dir, "communes")
-    people = places.address_fields(
-        table(spark, sf_dir, "annuaire_ameli"), "id", [F.col("adresse")], communes,
-        F.col("code_insee"), F.col("code_postal"), F.col("ville"),
-    )
-    centres = places.address_fields(
-        table(spark, sf_dir, "centres_sante"), "etab_finess", [F.col("voie"), F.col("complement_voie"), F.col("lieu_dit")],
-        communes, F.col("code_insee"), F.col("code_postal"), F.col("ville"),
-    )
-    pairs = places.same_addresses(people, centres)
+    where = (F.col("code_insee"), F.col("code_postal"), F.col("ville"))
+    people = places.address_fields(table(spark, sf_dir, "annuaire_ameli"), "id", [F.col("adresse")], communes, *where)
+    fields = [F.col("voie"), F.col("complement_voie"), F.col("lieu_dit")]
+    return people, places.address_fields(table(spark, sf_dir, "centres_sante"), "etab_finess", fields, communes, *where)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = places.same_addresses(*_address_sides(spark, sf_dir))
     return pairs.select(F.col("left_key").alias("id"), F.col("right_key").alias("etab_finess"))
 
 
+def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with the class of its address and the number of its links."""
+    out = places.linked_members(*_address_sides(spark, sf_dir))
+    return out.select(F.when(F.col("side") == "left", "annuaire").otherwise("centres").alias("liste"), F.col("key").alias("cle"), "place", "n_links")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_links": p1_links,
     "p3_percentiles": p3_percentiles, "p3_daily": p3_daily, "p3_from_days": p3_from_days, "p3_by_days": p3_by_days,
     "p4_found": p4_found, "p4_links": p4_links,
-    "p7_found": p7_found,
+    "p7_found": p7_found, "p7_places": p7_places,
     "p8_layout": p8_layout, "p8_usage": p8_usage, "p8_steps": p8_steps, "p8_tiers": p8_tiers,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_restored": p10_restored,

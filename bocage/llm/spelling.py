@@ -5,6 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import combinations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _LIGATURES = str.maketrans({"œ": "oe", "æ": "ae", "Œ": "oe", "Æ": "ae", "ß": "ss", "’": "'", "‘": "'", "`": "'", "´": "'"})
 
@@ -36,19 +41,22 @@ def edits(a: str, b: str, most: int = 3) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    two: list[int] = []
-    one = list(range(len(b) + 1))
+    # Only a band around the diagonal can stay within ``most``, so long texts cost no more than their length.
+    far, width = most + 1, len(b) + 1
+    two: dict[int, int] = {}
+    one = {j: j for j in range(min(most, width - 1) + 1)}
     for i, ca in enumerate(a, 1):
-        row = [i]
-        for j, cb in enumerate(b, 1):
-            d = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (ca != cb))
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(width - 1, i + most) + 1):
+            cb = b[j - 1]
+            d = min(one.get(j, far) + 1, row.get(j - 1, far) + 1, one.get(j - 1, far) + (ca != cb))
             if i > 1 and j > 1 and ca == b[j - 2] and a[i - 2] == cb:
-                d = min(d, two[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
+                d = min(d, two.get(j - 2, far) + 1)
+            row[j] = d
+        if min(row.values(), default=far) > most:
+            return far
         two, one = one, row
-    return min(one[-1], most + 1)
+    return min(one.get(len(b), far), far)
 
 
 def typo_allowance(length: int) -> int:
@@ -60,3 +68,68 @@ def same_word(a: str, b: str) -> bool:
     """Equal up to the typing errors its length allows."""
     allowed = typo_allowance(min(len(a), len(b)))
     return a == b or (allowed > 0 and edits(a, b, allowed) <= allowed)
+
+
+#: Words beyond this length are compared by segments, as their deletions would be too many.
+LONG_WORD = 40
+_SEGMENTS = 5
+
+
+def deletions(word: str) -> set[str]:
+    """The word and what is left of it after as many deletions as it may carry errors.
+
+    Two words within their allowance (a swap of neighbours is one error) share one of these.
+    """
+    out = {word}
+    for k in range(1, typo_allowance(len(word)) + 1):
+        for gone in combinations(range(len(word)), k):
+            out.add("".join(c for i, c in enumerate(word) if i not in gone))
+    return out
+
+
+def segments(word: str, probing: bool) -> set[str]:
+    """Keys that two long words within two errors share: of five segments two errors, swaps too, leave one untouched.
+
+    One side gives its own segments, the other (``probing``) what they may be in words up to two letters longer or shorter.
+    """
+    out = set()
+    for length in range(len(word) - 2, len(word) + 3) if probing else (len(word),):
+        size = length // _SEGMENTS
+        for j in range(_SEGMENTS):
+            for shift in (-2, -1, 0, 1, 2) if probing else (0,):
+                at = j * size + shift
+                if 0 <= at and at + size <= len(word):
+                    out.add(f"{length}:{j}:{word[at : at + size]}")
+    return out
+
+
+def _keys(probing: bool):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for word in pdf["word"]:
+                found = set()
+                if typo_allowance(len(word)):
+                    # Words near the bound are of both kinds, so that a pair across it meets.
+                    if len(word) <= LONG_WORD + 2:
+                        found |= deletions(word)
+                    if len(word) > LONG_WORD - 2:
+                        found |= segments(word, probing)
+                rows += [(word, key) for key in found]
+            yield pd.DataFrame(rows, columns=["word", "key"])
+
+    return run
+
+
+def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): different words of two word lists (column ``word``) that are equal up to the errors their length allows; none is lost."""
+    keyed = lambda df, probing: df.where("word IS NOT NULL").distinct().mapInPandas(_keys(probing), "word string, key string")
+    a = keyed(left, False).select(F.xxhash64("key").alias("key"), F.col("word").alias("a"))
+    b = keyed(right, True).select(F.xxhash64("key").alias("key"), F.col("word").alias("b"))
+    met = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2)).select("a", "b").distinct()
+
+    def verified(batches):
+        for pdf in batches:
+            yield pdf.loc[[same_word(x, y) for x, y in zip(pdf["a"], pdf["b"])]]
+
+    return met.mapInPandas(verified, "a string, b string")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from bocage.llm import linkage, places, variants
-from bocage.llm.addresses import parse_address, same_location
+from bocage.llm.addresses import parse_address, readings, same_location
 from bocage.llm.names import parse_name, trades_agree
 from bocage.llm.spelling import edits
 
@@ -174,3 +174,43 @@ def test_same_addresses(spark):
     got = sorted((r["left_key"], r["right_key"]) for r in places.same_addresses(left, right).collect())
     assert got == [(1, "x"), (2, "y")]
     assert places.same_addresses(left.limit(0), right).count() == 0
+
+
+def test_two_errors_in_a_street_word_still_meet(spark):
+    schema = "k long, adresse string, code string"
+    left = spark.createDataFrame([(1, "12 rue Montmirail", "01910"), (2, "14 rue Montmirail", "01910"), (3, "7 rue Dupin, 9 avenue Foch", "01910")], schema)
+    right = spark.createDataFrame([(10, "12 rue Mnotmirial", "01910"), (11, "9 av. Foch", "01910"), (12, "12 rue Montorail", "02910")], schema)
+    null = F.lit(None).cast("string")
+    sides = [places.address_fields(df, "k", [F.col("adresse")], communes(spark), F.col("code"), null, null) for df in (left, right)]
+    got = {(r["left_key"], r["right_key"]) for r in places.same_addresses(*sides).collect()}
+    assert got == {(1, 10), (3, 11)}
+    rows = {(r["side"], r["key"]): r["n_links"] for r in places.linked_members(*sides).collect()}
+    assert rows == {("left", "1"): 1, ("left", "2"): 0, ("left", "3"): 1, ("right", "10"): 1, ("right", "11"): 1, ("right", "12"): 0}
+
+
+def test_readings_vary_one_part_at_a_time():
+    forms = readings("12 rue des Lilas, 14 avenue Foch")
+    assert forms[0] == parse_address("12 rue des Lilas, 14 avenue Foch") and len(forms) == 4
+    assert forms[3].number == 14 and forms[3].words == ("foch",)
+    assert {f.number for f in forms} == {12, 14} and {f.street_type for f in forms} == {"rue", "avenue"}
+    assert len(readings(" , ".join(f"{i} rue Abc{i}" for i in range(2000)))) < 6002
+    assert readings(None) == readings("  ") == (parse_address(),)
+
+
+def test_similar_words_lose_nothing(spark):
+    import random
+
+    from bocage.llm.spelling import same_word, similar_words
+
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 10))) for _ in range(300)}
+    for _ in range(30):
+        long = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(37, 60)))
+        i = rng.randint(0, 30)
+        words |= {long, long[:i] + long[i + 1 :], long[:i] + "xy" + long[i:], long[:i] + long[i + 1] + long[i] + long[i + 2 : -1], long[:i] + long[i + 3 :]}
+    words |= {"", "x" * 100_000, "x" * 100_001}
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "word string")
+    got = {(r["a"], r["b"]) for r in similar_words(df, df).collect()}
+    short = [w for w in words if len(w) < 1000]
+    assert {p for p in got if len(p[0]) < 1000} == {(a, b) for a in short for b in short if a != b and same_word(a, b)}
+    assert ("x" * 100_000, "x" * 100_001) in got

@@ -1,20 +1,36 @@
 """Text as Column expressions: folding, keys, and set or multiset similarities.
 
-The accent table covers the Latin letters of Western European names; letters outside it
-pass through unchanged.
+Accents go by canonical decomposition, as Unicode defines it for all letters of one base letter
+and marks; letters without one pass through unchanged.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžč"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyszc"
+
+def _decomposable() -> tuple[str, str]:
+    """The lower-case letters that decompose into one letter and marks, those letters, and the marks alone, which go."""
+    seen, plain = [], []
+    for code in range(0xC0, 0x3000):
+        whole = chr(code)
+        parts = unicodedata.normalize("NFD", whole)
+        base = [c for c in parts if not unicodedata.combining(c)]
+        if len(parts) > 1 and len(base) == 1 and whole == whole.lower():
+            seen.append(whole)
+            plain.append(base[0])
+    marks = [chr(code) for code in range(0x300, 0x370)]
+    return "".join(seen + marks), "".join(plain)
+
+
+_ACCENTED, _PLAIN = _decomposable()
 
 
 def strip_accents(value: Column) -> Column:
-    """Lower case, ligatures opened, accents of the covered letters removed."""
+    """Lower case, ligatures opened, accents and lone marks removed."""
     low = F.lower(value)
     for ligature, letters in (("œ", "oe"), ("æ", "ae"), ("ß", "ss")):
         low = F.replace(low, F.lit(ligature), F.lit(letters))
@@ -36,15 +52,6 @@ def commune_key(value: Column) -> Column:
     return F.regexp_replace(low, r"[^a-z0-9]+", "")
 
 
-def department_of_postal(postal: Column) -> Column:
-    """Département of a postal code; overseas codes keep three digits, Corsica is unresolved."""
-    return (
-        F.when(postal.startswith("20"), F.lit(None))
-        .when(postal.rlike("^9[78]"), F.substring(postal, 1, 3))
-        .when(postal.rlike("^[0-9]{5}$"), F.substring(postal, 1, 2))
-    )
-
-
 def clean_text(value: Column) -> Column:
     """Control characters and runs of blanks as one space, ends trimmed, blank as null."""
     return non_empty(F.regexp_replace(F.regexp_replace(value, r"[\x00-\x1f]+", " "), r"\s+", " "))

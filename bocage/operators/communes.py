@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bocage.functions.text import commune_key, department_of_postal
-
+from bocage.functions.codes import department_of_postal
+from bocage.functions.text import commune_key
 
 MISSPELT = 2
 

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from bocage.functions.geo import (
     METRES_PER_DEGREE, haversine_m, point_lat, point_lon, polygon_rings, ring_edges, usable_point,
 )
+from bocage.session import checkpoint
 
 STRIP_DEGREES = 0.01
+COLUMN_DEGREES = 0.1
 EDGE_TOLERANCE = 1e-12
 
 
@@ -54,10 +56,18 @@ def containing_regions(
     points: DataFrame, regions: DataFrame, code: str = "code", geom: str = "geom", strip: float = STRIP_DEGREES
 ) -> DataFrame:
     """(lon, lat, code) for each distinct point of ``points`` and each region that contains it."""
-    spots = points.select("lon", "lat").distinct().withColumn("strip", F.floor(F.col("lat") / strip))
-    edges = polygon_edges(regions, code, geom, strip)
+    spots = points.select("lon", "lat").distinct()
+    spots = spots.withColumns({"strip": F.floor(F.col("lat") / strip), "column": F.floor(F.col("lon") / COLUMN_DEGREES)})
+    # The edges are parsed once and read twice, for the boxes and for the crossings.
+    edges = checkpoint(polygon_edges(regions, code, geom, strip))
     x, y = F.col("lon"), F.col("lat")
-    met = spots.join(edges, "strip").where((x >= F.col("west")) & (x <= F.col("east")))
+    # Points first find the regions whose box they may lie in, cell by cell; then each meets the edges of
+    # its own strip of those regions only.  No key is as wide as a band around the world.
+    boxes = edges.select("code", "shape", "west", "east", "strip").distinct()
+    columns = F.sequence(F.floor(F.col("west") / COLUMN_DEGREES), F.floor(F.col("east") / COLUMN_DEGREES))
+    boxes = boxes.select("*", F.explode(columns).alias("column"))
+    candidates = spots.join(boxes, ["strip", "column"]).where((x >= F.col("west")) & (x <= F.col("east"))).select("lon", "lat", "strip", "code", "shape")
+    met = candidates.join(edges.drop("west", "east"), ["code", "shape", "strip"])
     run, rise = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     straddles = (F.col("y1") > y) != (F.col("y2") > y)
     crossing = F.when(straddles, x < F.try_divide(run * (y - F.col("y1")), rise) + F.col("x1")).otherwise(False)
@@ -84,10 +94,19 @@ def _lon_width(band: Column, band_deg: float, radius_m: float) -> Column:
 def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """(left_key, right_key, metres) for points of both sides at most ``radius_m`` apart.
 
-    ``left`` is the side replicated into the neighbouring cells; pass the smaller one.
+    ``left`` is the side replicated into the neighbouring cells; pass the smaller one.  Equal points
+    meet once, whatever the number of rows at them.
     """
-    band_deg = radius_m / METRES_PER_DEGREE * 1.001
+    spots = near_spots(left.select("lon", "lat").distinct(), right.select("lon", "lat").distinct(), radius_m)
     a = left.select(F.col("key").alias("left_key"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
+    b = right.select(F.col("key").alias("right_key"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+    return spots.join(a, ["ax", "ay"]).join(b, ["bx", "by"]).groupBy("left_key", "right_key").agg(F.min("metres").alias("metres"))
+
+
+def near_spots(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
+    """(ax, ay, bx, by, metres) of the distinct points (lon, lat) of both sides at most ``radius_m`` apart."""
+    band_deg = radius_m / METRES_PER_DEGREE * 1.001
+    a = left.select(F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     a = a.withColumn("band", F.explode(F.sequence(F.floor(F.col("ay") / band_deg) - 1, F.floor(F.col("ay") / band_deg) + 1)))
     width = _lon_width(F.col("band"), band_deg, radius_m)
     # The reach in longitude is that of the more polar of the two bands that may meet.
@@ -101,8 +120,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
         F.floor((F.col("ax") + F.col("shift") - F.col("span")) / F.col("w")),
         F.floor((F.col("ax") + F.col("shift") + F.col("span")) / F.col("w")),
     )
-    a = a.select("left_key", "ax", "ay", "band", F.explode(cells).alias("cell"))
-    b = right.select(F.col("key").alias("right_key"), F.col("lon").alias("bx"), F.col("lat").alias("by"))
+    a = a.select("ax", "ay", "band", F.explode(cells).alias("cell"))
+    b = right.select(F.col("lon").alias("bx"), F.col("lat").alias("by"))
     b = b.withColumn("band", F.floor(F.col("by") / band_deg))
     b = b.withColumn("cell", F.floor(F.col("bx") / _lon_width(F.col("band"), band_deg, radius_m)))
     metres = haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
@@ -110,6 +129,6 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
         a.join(b, ["band", "cell"])
         .withColumn("metres", metres)
         .where(F.col("metres") <= radius_m)
-        .groupBy("left_key", "right_key")
-        .agg(F.min("metres").alias("metres"))
+        .select("ax", "ay", "bx", "by", "metres")
+        .distinct()
     )

@@ -113,14 +113,23 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     """The row of each key that comes first, combined before the shuffle."""
     rows = [F.col(c) for c in df.columns]
     best = df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min_by(F.struct(*rows), F.col(order)).alias("_row"))
-    return best.select("_row.*")
+    # The key comes from the grouping, so a filter on it passes below.
+    return best.select(*[F.col(f"_{c}").alias(c) if c in key else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last write wins: the row of each key with the greatest order, combined before the shuffle."""
     rows = [F.col(c) for c in df.columns]
     best = df.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max_by(F.struct(*rows), F.struct(*order)).alias("_row"))
-    return best.select("_row.*")
+    # The key comes from the grouping, so a filter on it passes below.
+    return best.select(*[F.col(f"_{c}").alias(c) if c in key else F.col("_row").getField(c).alias(c) for c in df.columns])
+
+
+def last_near(df: DataFrame, key: Sequence[str], order: Sequence[str], lon: float, lat: float, radius_m: float, geom: str = "geom") -> DataFrame:
+    """Rows whose last version lies within the radius: only keys with any version in its box are brought together."""
+    box = geo.bbox_filter(geo.point_lon(F.col(geom)), geo.point_lat(F.col(geom)), lon, lat, radius_m)
+    close = df.where(box).select(*key).distinct()
+    return in_radius(with_point(last_per_key(df.join(close, list(key), "left_semi"), key, order), geom), lon, lat, radius_m)
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:

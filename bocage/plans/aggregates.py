@@ -142,8 +142,7 @@ def practitioners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per practitioner (name, first name, title, specialty and type) with the sites in id order."""
     keys = ["nom", "prenom", "civilite", "specialite_code", "type_ps_code"]
     df = table(spark, sf_dir, "annuaire_ameli").select(*keys, "id").distinct()
-    out = df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count("*").alias("n_sites"))
-    return out.drop("civilite", "type_ps_code")
+    return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count("*").alias("n_sites"))
 
 
 def histogram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +211,8 @@ SELECT source, max(last_attempt_at) AS last_attempt, arg_max(last_attempt_status
 FROM r GROUP BY 1""",
     "a24_json_report": """WITH c AS (SELECT geom_source, count(*) AS n FROM annuaire_ameli WHERE geom_source IS NOT NULL GROUP BY 1)
 SELECT '{' || string_agg('"' || geom_source || '":' || n, ',' ORDER BY n DESC, geom_source) || '}' AS by_source, CAST(sum(n) AS BIGINT) AS total FROM c""",
-    "a27_practitioners": """SELECT nom, prenom, specialite_code, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) AS n_sites
-FROM (SELECT DISTINCT nom, prenom, specialite_code, id FROM annuaire_ameli) GROUP BY 1, 2, 3""",
+    "a27_practitioners": """SELECT nom, prenom, civilite, specialite_code, type_ps_code, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, count(*) AS n_sites
+FROM (SELECT DISTINCT nom, prenom, civilite, specialite_code, type_ps_code, id FROM annuaire_ameli) GROUP BY ALL""",
     "a29_histogram_top": """SELECT nature_mutation, type_local, count(*) AS n FROM dvf_mutations GROUP BY 1, 2
 ORDER BY n DESC, nature_mutation NULLS FIRST, type_local NULLS FIRST LIMIT 5""",
 }

@@ -136,11 +136,8 @@ QUERIES = {
     "d01_month_parts": month_parts, "n01_geojson_points": geojson_points, "m03_ring_centres": ring_centres,
 }
 
-_ACCENTS = "'àáâãäåçèéêëìíîïñòóôõöùúûüýÿšžč', 'aaaaaaceeeeiiiinooooouuuuyyszc'"
-
-
 def sql_fold(value: str) -> str:
-    return f"translate(replace(replace(replace(lower({value}), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), {_ACCENTS})"
+    return f"strip_accents(replace(replace(replace(lower({value}), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'))"
 
 
 def sql_compare(value: str) -> str:

@@ -12,10 +12,16 @@ from bocage.session import table
 LON, LAT = 7.2, 44.15
 
 
+_PEOPLE = ["id", "nom", "prenom", "specialite_code", "code_departement", "code_insee", "geom", "geom_source", "created_at"]
+
+
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory rows once each: of a row delivered twice the later."""
-    columns = ["id", "nom", "prenom", "specialite_code", "code_departement", "code_insee", "geom", "geom_source", "created_at"]
-    return query.last_per_key(table(spark, sf_dir, "annuaire_ameli").select(columns), ["id"], ["created_at", "geom"])
+    return query.last_per_key(table(spark, sf_dir, "annuaire_ameli").select(_PEOPLE), ["id"], ["created_at", "geom"])
+
+
+def _people_near(spark: SparkSession, sf_dir: str, radius_m: float) -> DataFrame:
+    return query.last_near(table(spark, sf_dir, "annuaire_ameli").select(_PEOPLE), ["id"], ["created_at", "geom"], LON, LAT, radius_m)
 
 
 def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,14 +75,14 @@ def known_code_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def people_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precise points within 5 km and their distances."""
-    near = query.in_radius(query.with_point(_people(spark, sf_dir).where(F.col("geom_source") == "ban_address")), LON, LAT, 5000.0)
+    near = _people_near(spark, sf_dir, 5000.0).where(F.col("geom_source") == "ban_address")
     return near.select("id", F.round("distance_m", 3).alias("distance_m"))
 
 
 def nearest_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 closest of a speciality."""
-    some = _people(spark, sf_dir).where("specialite_code = '24' AND geom_source = 'ban_address'")
-    near = query.nearest(query.in_radius(query.with_point(some), LON, LAT, 20_000.0), 25, "id")
+    some = _people_near(spark, sf_dir, 20_000.0).where("specialite_code = '24' AND geom_source = 'ban_address'")
+    near = query.nearest(some, 25, "id")
     return near.select("id", F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -23,6 +23,7 @@ def build_session(app: str = "bocage", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -51,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make a local one only where none is named."""
+    """Use the cluster's shared folder; a folder of this machine only where all runs on it and none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -59,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
         return
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError(f"name a folder that all executors share in {CHECKPOINT_KEY}")
     own = tempfile.mkdtemp(prefix="bocage-checkpoint-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir(f"file://{own}")

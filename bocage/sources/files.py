@@ -6,8 +6,6 @@ read is one pass and a changed file cannot change a schema.
 
 from __future__ import annotations
 
-import hashlib
-import os
 import re
 import time
 from collections.abc import Iterable, Mapping, Sequence
@@ -17,17 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bocage.functions import numbers, text
+from bocage.sources import fs
 
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], sep: str = ";", quote: str | None = '"', columns: Sequence[str] | None = None,
-    required: Iterable[str] = (), multi_line: bool = False, trim: bool = False, mode: str = "PERMISSIVE",
+    required: Iterable[str] = (), multi_line: bool = False, trim: bool = False, mode: str = "FAILFAST",
 ) -> DataFrame:
     """A delimited file with a header, all text, empty values as empty text; UTF-8, a leading mark dropped.
 
+    Nothing is lost in silence: a row with too few or too many values, or with bytes that are not
+    UTF-8, ends the read with an error.  ``read_with_rejects`` sets such rows apart instead.
+
     ``quote`` None reads quotes as ordinary characters.  ``columns`` prunes at the scan.  A
     missing ``required`` or selected column is an error, not a null.
     """
+    # The parser sees whole rows, or a short one would pass where only its first columns are asked for.
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
     reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", "UTF-8")
     reader = reader.option("quote", quote or "").option("escape", quote or "\\").option("multiLine", multi_line).option("mode", mode)
     reader = reader.option("ignoreLeadingWhiteSpace", trim).option("ignoreTrailingWhiteSpace", trim).option("emptyValue", "").option("nullValue", "")
@@ -37,7 +41,28 @@ def read_delimited(
     if absent:
         raise ValueError(f"missing columns: {', '.join(absent)}")
     kept = df.select(*columns) if columns else df
-    return kept.fillna("")
+    spoilt = F.lit("bytes that are not UTF-8")
+    checked = [F.when(F.contains(F.col(f"`{c}`"), F.lit("\ufffd")), F.raise_error(spoilt)).otherwise(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in kept.columns]
+    return kept.select(*checked)
+
+
+def read_with_rejects(spark: SparkSession, path: str | list[str], sep: str = ";", quote: str | None = '"') -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): the rows that conform, and the raw text of the others with the reason, ``shape`` or ``bytes``.
+
+    One record is one line; the header of the first file gives the columns.
+    """
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
+    options = {"header": True, "sep": sep, "encoding": "UTF-8", "quote": quote or "", "escape": quote or "\\", "emptyValue": "", "nullValue": ""}
+    names = spark.read.options(**options).csv(path).columns
+    schema = ", ".join(f"`{c.lstrip(chr(0xFEFF)).strip()}` string" for c in names) + ", _raw string"
+    rows = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", enforceSchema=True).schema(schema).csv(path)
+    columns = [c for c in rows.columns if c != "_raw"]
+    spoilt = F.contains(F.concat_ws("", *[f"`{c}`" for c in columns]), F.lit("\ufffd"))
+    reason = F.when(F.col("_raw").isNotNull(), "shape").when(spoilt, "bytes")
+    judged = rows.withColumn("_reason", reason)
+    good = judged.where("_reason IS NULL").select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    raw = F.coalesce("_raw", F.concat_ws(sep, *[f"`{c}`" for c in columns]))
+    return good, judged.where("_reason IS NOT NULL").select(raw.alias("raw"), F.col("_reason").alias("reason"))
 
 
 def tokens(line: Column, sep: str = ";") -> Column:
@@ -127,25 +152,20 @@ def mapped_columns(df: DataFrame, mapping: Mapping[str, str], key: str) -> DataF
     return df.select(key, *[numbers.loose_number(F.col(source)).alias(target) for source, target in mapping.items()])
 
 
-def file_digest(path: str) -> str:
+def file_digest(spark: SparkSession, path: str) -> str:
     """SHA-256 of a file's bytes."""
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        for block in iter(lambda: f.read(1 << 20), b""):
-            digest.update(block)
-    return digest.hexdigest()
+    return fs.digest(spark, path)
 
 
-def precheck(path: str, least_bytes: int, magic: bytes = b"") -> None:
+def precheck(spark: SparkSession, path: str, least_bytes: int, magic: bytes = b"") -> None:
     """Refuse files that are too small or not of the expected kind, before any job starts."""
-    size = os.path.getsize(path)
+    size, _ = fs.status(spark, path)
     if size < least_bytes:
         raise ValueError(f"{path}: {size} bytes, expected at least {least_bytes}")
-    with open(path, "rb") as f:
-        if f.read(len(magic)) != magic:
-            raise ValueError(f"{path}: unexpected first bytes")
+    if fs.head(spark, path, len(magic)) != magic:
+        raise ValueError(f"{path}: unexpected first bytes")
 
 
-def fresh(path: str, ttl_seconds: float, now: float | None = None) -> bool:
+def fresh(spark: SparkSession, path: str, ttl_seconds: float, now: float | None = None) -> bool:
     """Whether a cached file exists and is younger than its time to live."""
-    return os.path.exists(path) and (now or time.time()) - os.path.getmtime(path) < ttl_seconds
+    return fs.exists(spark, path) and (now or time.time()) - fs.status(spark, path)[1] < ttl_seconds

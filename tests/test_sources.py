@@ -27,6 +27,21 @@ def test_delimited(spark, tmp_path):
     assert line.select(files.tokens(F.col("v")).alias("t")).first()["t"] == ["", 'x "y"', "z", ""]
 
 
+def test_rows_of_another_shape_are_refused_or_set_apart(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_bytes("id;nom;x\n1;a;b\n2;short\n3;é;b;c;d\n".encode() + b"4;\xff\xfe;z\n5;ok;\n")
+    for columns in (None, ["id"]):
+        with pytest.raises(Exception, match="(?i)malformed|utf-8"):
+            files.read_delimited(spark, str(path), columns=columns).collect()
+    spoilt = tmp_path / "b.csv"
+    spoilt.write_bytes(b"id;nom\n4;\xff\xfe\n")
+    with pytest.raises(Exception, match="UTF-8"):
+        files.read_delimited(spark, str(spoilt)).collect()
+    good, rejects = files.read_with_rejects(spark, str(path))
+    assert sorted(tuple(r) for r in good.collect()) == [("1", "a", "b"), ("5", "ok", "")]
+    assert sorted((r["raw"][0], r["reason"]) for r in rejects.collect()) == [("2", "shape"), ("3", "shape"), ("4", "bytes")]
+
+
 def test_sites(spark, tmp_path):
     def one(number, closed=None, commune="01001"):
         return {
@@ -42,19 +57,19 @@ def test_sites(spark, tmp_path):
     assert [got[k]["skip_reason"] for k in ("bad", "010000002", "010000003")] == ["bad_id", "closed", "no_commune"]
 
 
-def test_file_choice(tmp_path):
+def test_file_choice(spark, tmp_path):
     assert files.wanted_sales_files(["full-2024.csv.gz", "full-2024-s1.csv.gz", "full-2025-s1.csv.gz", "x"]) == ["full-2024.csv.gz", "full-2025-s1.csv.gz"]
     with pytest.raises(ValueError):
         files.wanted_sales_files(["full-2024-s1.csv.gz", "full-2024.csv.gz"])
     path = tmp_path / "f"
     path.write_bytes(b"PKxyz")
-    files.precheck(str(path), 5, b"PK")
+    files.precheck(spark, str(path), 5, b"PK")
     with pytest.raises(ValueError):
-        files.precheck(str(path), 6)
+        files.precheck(spark, str(path), 6)
     with pytest.raises(ValueError):
-        files.precheck(str(path), 1, b"7z")
-    assert files.fresh(str(path), 60) and not files.fresh(str(path), 60, now=path.stat().st_mtime + 61)
-    assert len(files.file_digest(str(path))) == 64
+        files.precheck(spark, str(path), 1, b"7z")
+    assert files.fresh(spark, str(path), 60) and not files.fresh(spark, str(path), 60, now=path.stat().st_mtime + 61)
+    assert len(files.file_digest(spark, str(path))) == 64
 
 
 def test_store(spark, tmp_path):
@@ -63,15 +78,15 @@ def test_store(spark, tmp_path):
         store.read(spark, "t")
     with pytest.raises(ValueError):
         store.stage(spark.range(1), "../t")
-    assert store.drop_stale("t", 1, dt.datetime.now(dt.UTC)) == "absent"
+    assert store.drop_stale(spark, "t", 1, dt.datetime.now(dt.UTC)) == "absent"
     for n in (3, 5):
-        store.publish("t", store.stage(spark.range(n), "t", sort=("id",)))
+        store.publish(spark, "t", store.stage(spark.range(n), "t", sort=("id",)))
     assert store.read(spark, "t").count() == 5 and store.read(spark, "t", "previous").count() == 3
-    store.rollback("t")
+    store.rollback(spark, "t")
     assert store.read(spark, "t").count() == 3
-    assert store.drop_stale("t", 1, dt.datetime.now(dt.UTC)) == "kept"
-    assert store.drop_stale("t", 1, dt.datetime.now(dt.UTC) + dt.timedelta(days=2)) == "dropped"
-    assert store.drop_stale("t", 1, dt.datetime.now(dt.UTC)) == "no_history"
+    assert store.drop_stale(spark, "t", 1, dt.datetime.now(dt.UTC)) == "kept"
+    assert store.drop_stale(spark, "t", 1, dt.datetime.now(dt.UTC) + dt.timedelta(days=2)) == "dropped"
+    assert store.drop_stale(spark, "t", 1, dt.datetime.now(dt.UTC)) == "no_history"
     assert store.runs(spark).count() == 0
     store.log(spark, source="t", status="success", digest="abc", finished_at=dt.datetime(2026, 1, 1))
     assert store.unchanged(spark, "t", "abc") and not store.unchanged(spark, "t", "other") and not store.unchanged(spark, "u", "abc")

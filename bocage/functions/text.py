@@ -118,6 +118,18 @@ def geocoder_line(address: Column) -> Column:
     return F.when(out.rlike("[A-Za-z]"), out).otherwise(address)
 
 
+def shortened(value: Column, most: int) -> Column:
+    """Text of at most ``most`` characters for a message, an ellipsis for what is cut."""
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - 1), F.lit("…")))
+
+
+def csv_value(value: Column, sep: str = ",") -> Column:
+    """A value as it stands in a delimited file: quoted where it must be, quotes doubled; null is empty."""
+    special = value.contains(sep) | value.contains('"') | value.contains("\n") | value.contains("\r")
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(special, quoted).otherwise(value), F.lit(""))
+
+
 def first_phone(value: Column) -> Column:
     """The first number of a list, without separators."""
     return non_empty(F.regexp_replace(F.element_at(F.split(value, "[/;,]"), 1), r"[\s.\-()]", ""))

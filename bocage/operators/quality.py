@@ -58,14 +58,43 @@ def relative_band(now: int, before: int | None, low: float = 0.9, high: float =
     return "ok" if low <= now / before <= high else "refused"
 
 
-def work_selection(keys: DataFrame, cache: DataFrame, key: str, most_attempts: int = 3) -> DataFrame:
-    """Keys to look up: not cached, or not accepted and tried fewer times than allowed; least tried first."""
-    known = cache.select(F.col(key).alias("_k"), "accepted", "attempts")
+def work_selection(keys: DataFrame, cache: DataFrame, key: str, most_attempts: int = 3, stale: Column | None = None, most_stale: int = 4) -> DataFrame:
+    """Keys to look up: not cached, or not accepted and tried fewer times than allowed; one more try where the rejection is ``stale``."""
+    columns = ["accepted", "attempts"]
+    known = cache.select(F.col(key).alias("_k"), *columns, (F.lit(False) if stale is None else F.coalesce(stale, F.lit(False))).alias("_stale"))
     joined = keys.select(key).distinct().join(known, F.col(key) == F.col("_k"), "left")
-    todo = F.col("_k").isNull() | (~F.col("accepted") & (F.col("attempts") < most_attempts))
+    again = F.col("_stale") & (F.col("attempts") < most_stale)
+    todo = F.col("_k").isNull() | (~F.col("accepted") & ((F.col("attempts") < most_attempts) | again))
     return joined.where(todo).select(key, F.coalesce("attempts", F.lit(0)).alias("attempts"))
 
 
+def work_queue(work: DataFrame, key: str, most: int) -> DataFrame:
+    """The first ``most`` keys of a selection, least tried first, each with how many are left for later."""
+    total = work.agg(F.count("*").alias("n"))
+    first = work.orderBy("attempts", key).limit(most)
+    # One row beside at most ``most``.
+    return first.withColumn("_one", F.lit(0)).join(total.withColumn("_one", F.lit(0)), "_one").select(key, "attempts", F.greatest(F.col("n") - most, F.lit(0)).alias("remaining"))
+
+
+def diff_rules(diff: DataFrame) -> DataFrame:
+    """The rules of a new generation over the counts of ``enrich.generation_diff``: coverage, removals, lost points, moves."""
+    share = lambda c, of: F.coalesce(F.try_divide(F.col(c), of), F.lit(0.0)).cast("double")
+    old = F.col("kept") + F.col("removed")
+    rules = [
+        ("coverage", F.coalesce(F.try_divide(F.col("kept") + F.col("added"), old), F.lit(1.0)).cast("double"), 0.95, None, "fatal"),
+        ("removed", share("removed", old), None, 0.10, "fatal"), ("lost_point", share("lost_point", F.col("kept")), None, 0.005, "fatal"),
+        ("moved", share("moved", F.col("kept")), None, 0.20, "warning"),
+    ]
+    rows = F.array(
+        *[
+            F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.round(v, 6).alias("value"), F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"))
+            for n, v, lo, hi, s in rules
+        ]
+    )
+    inside = F.coalesce(F.col("value") >= F.col("low"), F.lit(True)) & F.coalesce(F.col("value") <= F.col("high"), F.lit(True))
+    return diff.select(F.explode(rows).alias("r")).select("r.*").withColumn("ok", inside)
+
+
 def lookup_results(results: DataFrame, cache: DataFrame, key: str, least: float) -> DataFrame:
     """Cache rows after a round of look-ups: coordinates only where accepted, one more attempt, and the status."""
     good = F.coalesce((F.col("score") >= least) & F.col("kind").isin("housenumber", "street", "locality"), F.lit(False))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bocage.plans import aggregates, cleaning, enrichment, loading, lookups, mapping, matching, problems
+from bocage.plans import aggregates, cleaning, composites, enrichment, loading, lookups, mapping, matching, problems
 
-MODULES = (problems, cleaning, lookups, enrichment, aggregates, matching, loading, mapping)
+MODULES = (problems, cleaning, lookups, enrichment, aggregates, matching, loading, mapping, composites)
 
 
 def queries() -> dict:

@@ -116,8 +116,10 @@ def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as GeoJSON features."""
     df = table(spark, sf_dir, "centres_sante")
     point = df.select("etab_finess", geo.point_lon(F.col("geom")).alias("lon"), geo.point_lat(F.col("geom")).alias("lat")).distinct()
-    body = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    return point.where(geo.usable_point(F.col("lon"), F.col("lat"))).select("etab_finess", F.to_json(body).alias("geojson"))
+    # Micro-degrees without exponents or trailing zeros, so that every reader sees the same text.
+    plain = lambda c: F.regexp_replace(F.col(c).cast("decimal(9,6)").cast("string"), r"\.?0+$", "")
+    body = F.concat(F.lit('{"type":"Point","coordinates":['), plain("lon"), F.lit(","), plain("lat"), F.lit("]}"))
+    return point.where(geo.usable_point(F.col("lon"), F.col("lat"))).select("etab_finess", body.alias("geojson"))
 
 
 def ring_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +199,8 @@ FROM annuaire_ameli WHERE adresse IS NOT NULL""",
   max((2027 - year(date_mutation)) * 12 + 1 - month(date_mutation)) AS lag,
   max(CAST(floor(floor(epoch(TIMESTAMP '2027-01-01') - floor(epoch(loaded_at))) / 86400) AS INT)) AS oldest_days,
   max(date_diff('day', date_mutation, DATE '2027-01-01')) AS oldest_sale FROM dvf_mutations GROUP BY ALL""",
+    "n01_geojson_points": f"""WITH p AS (SELECT DISTINCT etab_finess, {_LON} AS lon, {_LAT} AS lat FROM centres_sante)
+SELECT etab_finess, '{{"type":"Point","coordinates":[' || regexp_replace(CAST(CAST(lon AS DECIMAL(9,6)) AS VARCHAR), '\\.?0+$', '') || ',' || regexp_replace(CAST(CAST(lat AS DECIMAL(9,6)) AS VARCHAR), '\\.?0+$', '') || ']}}' AS geojson FROM p WHERE lon IS NOT NULL AND lat IS NOT NULL AND NOT (lon = 0 AND lat = 0)""",
     "m03_ring_centres": r"""WITH shapes AS (SELECT DISTINCT code_iris, geom FROM iris WHERE code_iris IS NOT NULL),
 rings AS (SELECT code_iris, unnest(regexp_extract_all(geom, '[(]([^()]+)[)]', 1)) AS r FROM shapes),
 pts AS (SELECT code_iris, unnest(string_split(r, ',')) AS p FROM rings)

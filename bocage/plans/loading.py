@@ -117,6 +117,8 @@ QUERIES = {
     "n02_event_properties": event_properties, "a00_order_revenue": order_revenue,
 }
 
+from bocage.plans.problems import _SQL_INSIDE  # noqa: E402
+
 _PRICE = "CASE WHEN isfinite(prix_m2) AND prix_m2 > 0 AND prix_m2 < 1e12 THEN prix_m2 END"
 
 
@@ -159,6 +161,11 @@ t AS (SELECT code_departement, CAST(sum(population) AS BIGINT) AS population FRO
 SELECT code_departement, population, n_people, n_centres, n_sales,
   concat_ws(',', CASE WHEN n_people IS NULL THEN 'people' END, CASE WHEN n_centres IS NULL THEN 'centres' END, CASE WHEN n_sales IS NULL THEN 'sales' END) AS missing
 FROM t LEFT JOIN p USING (code_departement) LEFT JOIN c USING (code_departement) LEFT JOIN s USING (code_departement)""",
+    "c13_iris_profiles": "WITH "
+    + _SQL_INSIDE.lstrip().replace(
+        """SELECT DISTINCT etab_finess, """, """SELECT DISTINCT id AS etab_finess, """
+    ).replace("FROM centres_sante\n  WHERE etab_finess IS NOT NULL", "FROM annuaire_ameli\n  WHERE geom_source = 'ban_address' AND id IS NOT NULL")
+    + " SELECT code_iris, count(DISTINCT etab_finess) AS n_people FROM inside GROUP BY 1",
     "s_event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "s_streamed_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "n02_event_properties": """SELECT event_type, count(k) AS n_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k

@@ -43,12 +43,6 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("inside", geo.in_france(F.col("lon"), F.col("lat")))
 
 
-def by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of a few keys, in a fixed order."""
-    df = table(spark, sf_dir, "sirene_etablissements").where(F.col("siren").like("0%")).select("siret", "siren", "enseigne", "actif").distinct()
-    return df
-
-
 def by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open establishments of some activities in a département, by commune and key."""
     df = table(spark, sf_dir, "sirene_etablissements").where("actif AND code_commune LIKE '01%'")
@@ -106,7 +100,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "proj08_practitioner_rows": practitioner_rows, "proj07_activity_rows": activity_rows, "proj09_centre_rows": centre_rows,
-    "m04_projected_points": projected_points, "c03_by_key": by_key, "c02_by_area": by_area, "j12_radius_of_code": radius_of_code,
+    "m04_projected_points": projected_points, "c02_by_area": by_area, "j12_radius_of_code": radius_of_code,
     "c20_sales_window": sales_window, "c41_period_states": period_states, "c38_precision_summaries": precision_summaries, "proj22_confidence": confidence,
 }
 
@@ -146,7 +140,6 @@ FROM r WHERE id IS NOT NULL AND trim(r.nom) <> '' AND trim(r.prenom) <> ''""",
 SELECT trim(etab_finess) AS etab_finess, coalesce(nullif(trim(regexp_replace(regexp_replace(etab_raison_sociale, '[\x00-\x1f]+', ' ', 'g'), '\s+', ' ', 'g')), ''), '_unknown_') AS etab_raison_sociale,
   coalesce(nullif(trim(regexp_replace(regexp_replace(type_etab_libelle, '[\x00-\x1f]+', ' ', 'g'), '\s+', ' ', 'g')), ''), '_unknown_') AS type_etab_libelle, nullif(trim(voie), '') AS voie,
   {_DEP_POSTAL.format(p="code_postal")} AS dep, CASE WHEN NOT coalesce(regexp_full_match(trim(etab_finess), '\d{{9}}'), false) THEN 'bad_id' END AS skip_reason FROM r""",
-    "c03_by_key": "SELECT DISTINCT siret, siren, enseigne, actif FROM sirene_etablissements WHERE siren LIKE '0%'",
     "c02_by_area": "SELECT DISTINCT siret, naf, code_commune FROM sirene_etablissements WHERE actif AND code_commune LIKE '01%' AND naf IN ('86.21Z', '86.23Z')",
     "j12_radius_of_code": """WITH c AS (SELECT lon AS x0, lat AS y0 FROM communes WHERE code_insee = '01910'),
 d AS (SELECT code_insee, population, 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(y0 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y0)) * pow(sin(radians(x0 - lon) / 2), 2)))) AS m FROM communes, c)

@@ -176,6 +176,11 @@ e AS (SELECT *, array_to_string(list_transform(string_split(a, ' '), lambda w: c
   array_to_string(list_transform(string_split(b, ' '), lambda w: coalesce({_ABBREVIATION_MAP}[w], w)), ' ') AS xb FROM j)
 SELECT etab_finess, id, CASE WHEN voie IS NULL OR adresse IS NULL THEN 'absent' WHEN a = b THEN 'match' WHEN xa = xb THEN 'match_after_abbreviation' ELSE 'divergent' END AS verdict,
   CASE WHEN a IS NULL OR b IS NULL THEN NULL ELSE round({sql_dice("a", "b")}, 6) END AS score FROM e""",
+    "c24_site_candidates": f"""WITH c AS (SELECT DISTINCT etab_finess, {_LON} AS lon, {_LAT} AS lat FROM centres_sante WHERE etab_finess IS NOT NULL AND {_LON} IS NOT NULL AND NOT ({_LON} = 0 AND {_LAT} = 0)),
+p AS (SELECT DISTINCT id, {_LON} AS lon, {_LAT} AS lat FROM annuaire_ameli WHERE geom_source = 'ban_address' AND id IS NOT NULL AND {_LON} IS NOT NULL AND NOT ({_LON} = 0 AND {_LAT} = 0)),
+d AS (SELECT etab_finess, id, min(2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(p.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - c.lon) / 2), 2))))) AS m
+  FROM c JOIN p ON p.lat BETWEEN c.lat - 0.002 AND c.lat + 0.002 GROUP BY 1, 2 HAVING m <= 100)
+SELECT etab_finess, id, round(m, 3) AS metres FROM d QUALIFY m <= min(m) OVER (PARTITION BY etab_finess) + 30""",
     "c29_reconciliations": f"""WITH c AS (SELECT DISTINCT etab_finess, {sql_compare("etab_raison_sociale")} AS na, {sql_compare("voie")} AS aa, code_insee AS c FROM centres_sante WHERE code_insee IS NOT NULL),
 s AS (SELECT DISTINCT siret, {sql_compare("raison_sociale_unite_legale")} AS nb, {sql_compare(_SITE_LINE)} AS ab, code_commune AS c FROM sirene_etablissements WHERE actif),
 d AS (SELECT etab_finess, siret, {sql_dice("na", "nb")} AS n, {sql_dice("aa", "ab")} AS a FROM c JOIN s USING (c) WHERE na IS NOT NULL AND aa IS NOT NULL)

@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
-from bocage.llm.spelling import NUMBER_WORDS, edits, fold, same_word, undot
+from bocage.llm.spelling import NUMBER_WORDS, KnownWords, fold, same_word, undot
 
 #: Street types and their usual abbreviations.
 STREET_TYPES = {
@@ -36,6 +36,7 @@ _COMMON = _KINDS | frozenset(
     "acacias fontaine liberte chateau ecoles abbaye eglise stade novembre mai juillet ormeaux chenes pins cedres".split()
 )
 _LONG_COMMON = sorted(w for w in _COMMON if len(w) > 4)
+_MISSPELT = KnownWords(_LONG_COMMON, lambda w: 1)
 _SKIP = frozenset("du de des la le les l d et au aux a".split())
 _MONTHS = "janvier|fevrier|mars|avril|mai|juin|juillet|aout|septembre|octobre|novembre|decembre"
 
@@ -62,7 +63,7 @@ def _street_word(token: str) -> str:
     full = _WORDS.get(token, token)
     if full in _COMMON or len(full) < 5 or full == "marie":
         return full
-    return next((w for w in _LONG_COMMON if edits(full, w, 1) <= 1), full)
+    return _MISSPELT.find(full) or full
 
 
 class Address(NamedTuple):

@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
-from bocage.llm.spelling import NUMBER_WORDS, edits, fold, same_word, undot
+from bocage.llm.spelling import NUMBER_WORDS, KnownWords, fold, same_word, undot
 
 #: Words that carry a trade, with the trade each shows; fixed vocabulary.
 TRADE_WORDS = {
@@ -35,6 +35,7 @@ _PHRASES = re.compile(
 _FILLER = frozenset("de du des la le les l d et en a aux au sante soins medicale biologie medicales unknown".split())
 _TITLE = frozenset("docteur docteurs dr drs doct".split())
 _LONG_TRADE = [w for w in (*TRADE_WORDS, "centre", "cabinet", "medicale") if len(w) >= 6]
+_MISSPELT = KnownWords(_LONG_TRADE, lambda w: 1 if len(w) < 10 else 2)
 #: Legal forms as written, with the one each shows.
 _LEGAL_OF = {
     "selarl": "selarl", "sas": "sas", "sasu": "sas", "sarl": "sarl", "eurl": "eurl", "scp": "scp", "scm": "scm", "sisa": "sisa",
@@ -62,12 +63,7 @@ def _vocabulary(word: str) -> str:
     """The trade or form word a token is, up to one typing error in the long ones."""
     if word in TRADE_WORDS or word in FORM_WORDS or word in _LEGAL or word in _FILLER or word in _TITLE:
         return word
-    if len(word) >= 6:
-        for known in _LONG_TRADE:
-            allowed = 1 if len(known) < 10 else 2
-            if edits(word, known, allowed) <= allowed:
-                return known
-    return ""
+    return _MISSPELT.find(word) if len(word) >= 6 else ""
 
 
 @lru_cache(maxsize=50_000)

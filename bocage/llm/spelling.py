@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,8 +23,10 @@ def fold(text: str | None) -> str:
     """Lower case without accents or ligatures, every blank a plain space, ends trimmed."""
     if not text:
         return ""
-    plain = unicodedata.normalize("NFKD", text.translate(_LIGATURES).lower())
-    plain = "".join(c for c in plain if not unicodedata.combining(c))
+    plain = text.lower()
+    if not plain.isascii() or "`" in plain:
+        plain = unicodedata.normalize("NFKD", text.translate(_LIGATURES).lower())
+        plain = "".join(c for c in plain if not unicodedata.combining(c))
     return re.sub(r"\s+", " ", plain).strip()
 
 
@@ -70,6 +71,35 @@ def same_word(a: str, b: str) -> bool:
     return a == b or (allowed > 0 and edits(a, b, allowed) <= allowed)
 
 
+def _without(word: str, most: int) -> set[str]:
+    """The word and what is left of it after up to ``most`` deletions."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+class KnownWords:
+    """A fixed list of words with the errors each allows; finds the first in order that a misspelt word may be."""
+
+    def __init__(self, words: list[str], allowed):
+        self.allowed = [(w, allowed(w)) for w in words]
+        self.most = [max((n for w, n in self.allowed if abs(len(w) - size) <= n), default=-1) for size in range(max(map(len, words)) + 3)]
+        self.longest = max(len(w) + n for w, n in self.allowed)
+        self.index: dict[str, list[int]] = {}
+        for i, (w, n) in enumerate(self.allowed):
+            for key in _without(w, n):
+                self.index.setdefault(key, []).append(i)
+
+    def find(self, word: str) -> str:
+        most = self.most[len(word)] if len(word) <= self.longest else -1
+        if most < 0:
+            return ""
+        near = {i for key in _without(word, most) for i in self.index.get(key, ())}
+        return next((w for i in sorted(near) for w, n in [self.allowed[i]] if edits(word, w, n) <= n), "")
+
+
 #: Words beyond this length are compared by segments, as their deletions would be too many.
 LONG_WORD = 40
 _SEGMENTS = 5
@@ -80,11 +110,7 @@ def deletions(word: str) -> set[str]:
 
     Two words within their allowance (a swap of neighbours is one error) share one of these.
     """
-    out = {word}
-    for k in range(1, typo_allowance(len(word)) + 1):
-        for gone in combinations(range(len(word)), k):
-            out.add("".join(c for i, c in enumerate(word) if i not in gone))
-    return out
+    return _without(word, typo_allowance(len(word)))
 
 
 def segments(word: str, probing: bool) -> set[str]:

@@ -105,12 +105,12 @@ LONG_WORD = 40
 _SEGMENTS = 5
 
 
-def deletions(word: str) -> set[str]:
-    """The word and what is left of it after as many deletions as it may carry errors.
+def deletions(word: str, most: int = 2) -> set[str]:
+    """The word and what is left of it after as many deletions as it may carry errors, ``most`` at the most.
 
     Two words within their allowance (a swap of neighbours is one error) share one of these.
     """
-    return _without(word, typo_allowance(len(word)))
+    return _without(word, min(most, typo_allowance(len(word))))
 
 
 def segments(word: str, probing: bool) -> set[str]:
@@ -129,7 +129,7 @@ def segments(word: str, probing: bool) -> set[str]:
     return out
 
 
-def _keys(probing: bool):
+def _keys(probing: bool, most: int):
     def run(batches):
         for pdf in batches:
             rows = []
@@ -138,7 +138,7 @@ def _keys(probing: bool):
                 if typo_allowance(len(word)):
                     # Words near the bound are of both kinds, so that a pair across it meets.
                     if len(word) <= LONG_WORD + 2:
-                        found |= deletions(word)
+                        found |= deletions(word, most)
                     if len(word) > LONG_WORD - 2:
                         found |= segments(word, probing)
                 rows += [(word, key) for key in found]
@@ -147,9 +147,12 @@ def _keys(probing: bool):
     return run
 
 
-def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): different words of two word lists (column ``word``) that are equal up to the errors their length allows; none is lost."""
-    keyed = lambda df, probing: df.where("word IS NOT NULL").distinct().mapInPandas(_keys(probing), "word string, key string")
+def similar_words(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
+    """(a, b): different words of two word lists (column ``word``) that are equal up to the errors their length allows.
+
+    None is lost that differs by at most ``most`` errors; of those with more, only some are found.
+    """
+    keyed = lambda df, probing: df.where("word IS NOT NULL").distinct().mapInPandas(_keys(probing, most), "word string, key string")
     a = keyed(left, False).select(F.xxhash64("key").alias("key"), F.col("word").alias("a"))
     b = keyed(right, True).select(F.xxhash64("key").alias("key"), F.col("word").alias("b"))
     met = a.join(b, "key").where((F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2)).select("a", "b").distinct()

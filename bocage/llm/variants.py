@@ -30,7 +30,6 @@ from bocage.session import checkpoint
 
 RADIUS = 2
 MOST_COST = 2.75
-SALTS = 32
 #: Trade of the typed names that show none: they meet every trade of their commune.
 ANY = "*"
 _UNIT_SCHEMA = "siren string, commune string, trade string, variant string, profile string"
@@ -108,27 +107,36 @@ def radius_pairs(register: DataFrame, typed: DataFrame, radius: int = RADIUS) ->
 
     Both inputs are distinct (commune, variant).  Levenshtein distance is a metric, so with
     p the nearest pivot of q and any s within r of q, d(q, p_s) <= d(q, p) + 2r: replicating
-    q to the pivots within that bound loses no pair.
+    q to the pivots within that bound loses no pair.  Cells are cut further by length, and a cell
+    is visited only where its own annulus is within reach.
     """
     sizes = register.groupBy("commune").agg(F.count("*").alias("n"), F.min_by("variant", F.xxhash64("variant")).alias("first"))
     share = F.pmod(F.xxhash64("variant", F.lit(7)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     pivots = register.join(sizes, "commune").where((share < 1 / F.sqrt("n")) | (F.col("variant") == F.col("first"))).select(
         "commune", F.col("variant").alias("pivot")
     )
-    # A commune with a third of all names would meet its pivots in one task: names are spread
-    # over salts, and the pivots, few by construction, are copied to each.
-    salt = F.pmod(F.xxhash64("variant", F.lit(11)), F.lit(SALTS)).cast("int").alias("salt")
-    pivots = pivots.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    d = F.levenshtein("variant", "pivot")
-    homes = register.select("*", salt).join(pivots, ["commune", "salt"]).groupBy("commune", "variant").agg(F.min(F.struct(d.alias("d"), "pivot")).alias("h"))
+    # One row of pivots for each commune, about the square root of its names: names meet them row by
+    # row, so a commune with a third of all names is split among tasks like any other large side.
+    sets = pivots.groupBy("commune").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
+    distances = F.transform("pivots", lambda p: F.struct(F.levenshtein("variant", p).alias("d"), p.alias("pivot"))).alias("to")
+    homes = register.join(sets, "commune").select("commune", "variant", distances).select("commune", "variant", F.array_min("to").alias("h"))
     homes = homes.select("commune", F.col("variant").alias("known"), F.col("h.pivot").alias("pivot"), F.col("h.d").alias("known_d"))
-    reach = typed.select("*", salt).join(pivots, ["commune", "salt"]).select("commune", "variant", "pivot", d.alias("typed_d"))
-    nearest = reach.groupBy("commune", "variant").agg(F.min("typed_d").alias("least"))
-    visits = reach.join(nearest, ["commune", "variant"]).where(F.col("typed_d") <= F.col("least") + 2 * radius).drop("least")
+    # A cell is a pivot and a band of lengths, as strings within the radius differ in length by no more than it.
+    width = 2 * radius + 1
+    homes = checkpoint(homes.withColumn("band", F.floor(F.length("known") / width)))
+    # Each cell's own annulus: a name farther inside or outside than the radius visits it for nothing.
+    cells = homes.groupBy("commune", "pivot", "band").agg(F.min("known_d").alias("inner"), F.max("known_d").alias("outer"))
+    reach = typed.join(sets, "commune").select("commune", "variant", distances)
+    reach = reach.select("commune", "variant", "to", (F.array_min("to")["d"] + 2 * radius).alias("most"))
+    near = F.explode(F.filter("to", lambda x: x["d"] <= F.col("most"))).alias("x")
+    visits = reach.select("commune", "variant", near).select("commune", "variant", F.col("x.pivot").alias("pivot"), F.col("x.d").alias("typed_d"))
+    bands = F.sequence(F.floor((F.length("variant") - radius) / width), F.floor((F.length("variant") + radius) / width))
+    visits = visits.select("*", F.explode(bands).alias("band")).join(cells, ["commune", "pivot", "band"])
+    visits = visits.where(F.col("typed_d").between(F.col("inner") - radius, F.col("outer") + radius)).drop("inner", "outer")
     # The annulus and the length are necessary conditions, cheaper than the distance itself.
     annulus = F.abs(F.col("known_d") - F.col("typed_d")) <= radius
     length = F.abs(F.length("known") - F.length("variant")) <= radius
-    met = visits.join(homes, ["commune", "pivot"]).where(annulus & length)
+    met = visits.join(homes, ["commune", "pivot", "band"]).where(annulus & length)
     close = met.withColumn("distance", F.levenshtein("variant", "known", radius)).where(F.col("distance") >= 0)
     return close.select("commune", "variant", "known", "distance")
 
@@ -180,19 +188,21 @@ def _judged(batches):
     for pdf in batches:
         costs = [link_cost(*_read(a), *_read(b)) for a, b in zip(pdf["a"], pdf["b"])]
         out = pdf.assign(cost=costs)
-        yield out.loc[out["cost"] <= MOST_COST, ["a", "commune", "siren", "cost"]]
+        yield out.loc[out["cost"] <= MOST_COST, ["a_id", "commune", "siren", "cost"]]
 
 
 def link_names(register: DataFrame, typed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(id, siren, cost): the one legal unit of the row's commune that its name stands for."""
-    register, typed = checkpoint(register), checkpoint(typed)
+    # Profiles travel as hashes within their commune; their texts join only the pairs to be judged.
+    register = checkpoint(register.select("*", F.xxhash64("profile").alias("b_id")))
+    typed = checkpoint(typed.select("*", F.xxhash64("profile").alias("a_id")))
     space = F.concat_ws("|", "commune", "trade")
-    known = register.select("commune", space.alias("space"), "siren", F.col("variant").alias("known"), F.col("profile").alias("b"))
+    known = register.select("commune", space.alias("space"), "siren", F.col("variant").alias("known"), "b_id")
     # A name that shows no trade may belong to any of the few there are in its commune.
     spaces = known.select("commune", "space").distinct()
-    profiles = typed.select("commune", "trade", "variant", F.col("profile").alias("a")).distinct()
-    plain = profiles.where(F.col("trade") != ANY).select("commune", space.alias("space"), "variant", "a")
-    every = profiles.where(F.col("trade") == ANY).join(spaces, "commune").select("commune", "space", "variant", "a")
+    profiles = typed.select("commune", "trade", "variant", "a_id").distinct()
+    plain = profiles.where(F.col("trade") != ANY).select("commune", space.alias("space"), "variant", "a_id")
+    every = profiles.where(F.col("trade") == ANY).join(spaces, "commune").select("commune", "space", "variant", "a_id")
     wanted = plain.unionByName(every)
     pairs = radius_pairs(
         known.select(F.col("space").alias("commune"), F.col("known").alias("variant")).distinct(),
@@ -200,12 +210,14 @@ def link_names(register: DataFrame, typed: DataFrame, radius: int = RADIUS) -> D
         radius,
     ).withColumnRenamed("commune", "space")
     # Equal profiles are judged once, however many rows carry them.
-    units = known.select("space", "known", "siren", "b")
-    candidates = wanted.join(pairs, ["space", "variant"]).join(units, ["space", "known"]).select("commune", "a", "siren", "b").distinct()
-    judged = candidates.mapInPandas(_judged, "a string, commune string, siren string, cost double")
-    best = judged.groupBy("commune", "a", "siren").agg(F.min("cost").alias("cost"))
-    order = Window.partitionBy("commune", "a").orderBy("cost")
+    units = known.select("space", "known", "siren", "b_id")
+    met = wanted.join(pairs, ["space", "variant"]).join(units, ["space", "known"]).select("commune", "a_id", "siren", "b_id").distinct()
+    texts = lambda df, c: df.select("commune", f"{c}_id", F.col("profile").alias(c)).dropDuplicates(["commune", f"{c}_id"])
+    candidates = met.join(texts(typed, "a"), ["commune", "a_id"]).join(texts(register, "b"), ["commune", "b_id"])
+    judged = candidates.select("commune", "a_id", "a", "siren", "b").mapInPandas(_judged, "a_id long, commune string, siren string, cost double")
+    best = judged.groupBy("commune", "a_id", "siren").agg(F.min("cost").alias("cost"))
+    order = Window.partitionBy("commune", "a_id").orderBy("cost")
     ranked = best.withColumn("rank", F.rank().over(order)).where("rank = 1")
-    lone = ranked.groupBy("commune", "a").agg(F.count("*").alias("n"), F.min("siren").alias("siren"), F.min("cost").alias("cost")).where("n = 1")
-    rows = typed.select("id", "commune", F.col("profile").alias("a")).distinct()
-    return rows.join(lone, ["commune", "a"]).select("id", "siren", "cost").distinct()
+    lone = ranked.groupBy("commune", "a_id").agg(F.count("*").alias("n"), F.min("siren").alias("siren"), F.min("cost").alias("cost")).where("n = 1")
+    rows = typed.select("id", "commune", "a_id").distinct()
+    return rows.join(lone, ["commune", "a_id"]).select("id", "siren", "cost").distinct()

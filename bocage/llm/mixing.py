@@ -28,30 +28,35 @@ from bocage.session import bucket_count, checkpoint
 
 BLOCK_TOKENS = 1024
 ROWS_PER_BUCKET = 10_000
-MOST_SOURCES = 10_000
+#: Cells of the unit interval, by which points find the stretch of their source.
+CELLS = 4096
 GOLDEN = (math.sqrt(5) - 1) / 2
 _HASHES = 1 << 40
 
 
-def plan(targets: list[tuple[str, float, int]], stock: dict[str, int], block_tokens: int) -> list[dict]:
-    """For each source with text: weight, blocks, slots' probability; and the total that all can meet."""
-    live = [(s, w, r) for s, w, r in targets if w > 0 and r > 0 and stock.get(s, 0) > 0]
-    whole = sum(w for _, w, _ in live)
-    out = []
-    for s, w, r in live:
-        blocks = max(1, round(stock[s] / block_tokens))
-        out.append({"source": s, "weight": w / whole, "repeat": r, "tokens": stock[s], "blocks": blocks, "block": stock[s] / blocks})
-    if not out:
-        return []
-    total = min(p["repeat"] * p["tokens"] / p["weight"] for p in out)
-    slots = sum(total * p["weight"] / p["block"] for p in out)
-    for p in out:
-        p["slots"] = math.floor(slots)
-        p["chance"] = total * p["weight"] / p["block"] / slots
-    return out
-
-
-def _stocked_blocks(lengths: DataFrame, sources: list[dict], seed: int) -> DataFrame:
+def source_plan(stock: DataFrame, targets: DataFrame, block_tokens: int) -> DataFrame:
+    """One row per source with text and target: blocks and their tokens, repetitions, its stretch of the unit interval, and the slots of all.
+
+    The total is the largest that all sources can meet.  ``stock`` has source and tokens; the table
+    has a row a source, so its sums are taken in one place, and nothing of it reaches the driver.
+    """
+    wanted = targets.where("source IS NOT NULL").groupBy("source").agg(
+        F.max(F.coalesce("part_cible", F.lit(0.0))).cast("double").alias("w"), F.max(F.coalesce("repetitions_max", F.lit(1))).cast("long").alias("repeat")
+    )
+    live = wanted.where("w > 0 AND repeat > 0").join(stock.where("tokens > 0"), "source")
+    every, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("source")
+    blocks = F.greatest(F.lit(1), F.round(F.col("tokens") / block_tokens)).cast("long")
+    live = live.withColumns({"weight": F.col("w") / F.sum("w").over(every), "blocks": blocks, "block": F.col("tokens") / blocks})
+    live = live.withColumn("total", F.min(F.col("repeat") * F.col("tokens") / F.col("weight")).over(every))
+    live = live.withColumn("turns", F.col("total") * F.col("weight") / F.col("block"))
+    live = live.withColumns({"all_turns": F.sum("turns").over(every), "upto": F.sum("turns").over(before), "last": F.max("source").over(every)})
+    high = F.when(F.col("source") == F.col("last"), 1.0).otherwise(F.col("upto") / F.col("all_turns"))
+    return live.select(
+        "source", "repeat", "blocks", "block", F.floor("all_turns").alias("slots"), ((F.col("upto") - F.col("turns")) / F.col("all_turns")).alias("low"), high.alias("high")
+    )
+
+
+def _stocked_blocks(lengths: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """(source, doc_id, n_tokens, block): shuffled texts cut into blocks of equal tokens, a text in the one it starts in."""
     order = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(_HASHES))
     buckets = bucket_count(lengths.count(), ROWS_PER_BUCKET)
@@ -65,23 +70,21 @@ def _stocked_blocks(lengths: DataFrame, sources: list[dict], seed: int) -> DataF
     placed = rows.join(before, ["source", "bucket"]).withColumn(
         "start", F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")
     )
-    size, last = F.lit(None).cast("double"), F.lit(0)
-    for p in sources:
-        size = F.when(F.col("source") == p["source"], p["block"]).otherwise(size)
-        last = F.when(F.col("source") == p["source"], p["blocks"] - 1).otherwise(last)
-    return placed.select("source", "doc_id", "n_tokens", F.least(F.floor(F.col("start") / size), last).cast("long").alias("block"))
+    sized = placed.join(sources.select("source", "block", "blocks"), "source")
+    return sized.select("source", "doc_id", "n_tokens", F.least(F.floor(F.col("start") / F.col("block")), F.col("blocks") - 1).cast("long").alias("block"))
+
 
+def _schedule(spark, sources: DataFrame, slots: int) -> DataFrame:
+    """(slot, source, turn): the source of each slot, and how many of its slots come before.
 
-def _schedule(spark, sources: list[dict]) -> DataFrame:
-    """(slot, source, turn): the source of each slot, and how many of its slots come before."""
-    slots = sources[0]["slots"]
+    Points meet the stretches of the sources cell by cell of the unit interval, an equi-join whatever their number.
+    """
     point = F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    source, edge = F.lit(sources[-1]["source"]), sum(p["chance"] for p in sources[:-1])
-    for p in reversed(sources[:-1]):
-        source = F.when(point < edge, p["source"]).otherwise(source)
-        edge -= p["chance"]
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), source.alias("source"))
-    chunked = drawn.withColumn("chunk", F.floor(F.col("slot") / ROWS_PER_BUCKET))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).withColumn("cell", F.floor(F.col("point") * CELLS))
+    cells = F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell")
+    stretches = sources.select("source", "low", "high", cells)
+    met = points.join(stretches, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    chunked = met.select("slot", "source", F.floor(F.col("slot") / ROWS_PER_BUCKET).alias("chunk"))
     counts = chunked.groupBy("source", "chunk").agg(F.count("*").alias("n"))
     before = counts.select("source", "chunk", (F.sum("n").over(Window.partitionBy("source").orderBy("chunk")) - F.col("n")).alias("before"))
     within = Window.partitionBy("source", "chunk").orderBy("slot")
@@ -93,31 +96,21 @@ def _schedule(spark, sources: list[dict]) -> DataFrame:
 def mix(lengths: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = 20) -> DataFrame:
     """(slot, source, doc_id, n_tokens, repetition): the mixed corpus; ``lengths`` has doc_id, source, n_tokens."""
     spark = lengths.sparkSession
-    rows = targets.where("source IS NOT NULL").groupBy("source").agg(
-        F.max("part_cible").alias("w"), F.max(F.coalesce("repetitions_max", F.lit(1))).alias("r")
-    ).limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} target sources")
-    wanted = [(r["source"], float(r["w"] or 0.0), int(r["r"])) for r in sorted(rows, key=lambda r: r["source"])]
     usable = lengths.where("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0").select("source", "doc_id", "n_tokens")
-    usable = usable.where(F.col("source").isin([s for s, w, _ in wanted if w > 0]))
-    # One row per targeted source.
-    stock = {r["source"]: r["n"] for r in usable.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    sources = plan(wanted, stock, block_tokens)
-    schema = "slot long, source string, doc_id long, n_tokens long, repetition int"
-    if not sources:
-        return spark.createDataFrame([], schema)
-    blocks, repeats = F.lit(1), F.lit(0)
-    for p in sources:
-        blocks = F.when(F.col("source") == p["source"], p["blocks"]).otherwise(blocks)
-        repeats = F.when(F.col("source") == p["source"], p["repeat"]).otherwise(repeats)
-    slots = _schedule(spark, sources).select(
-        "slot", "source", (F.col("turn") % blocks).cast("long").alias("block"), F.floor(F.col("turn") / blocks).cast("int").alias("lap"), repeats.alias("most")
+    stock = usable.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    sources = checkpoint(source_plan(stock, targets, block_tokens))
+    slots = sources.agg(F.max("slots").alias("n")).first()["n"]
+    if not slots:
+        return spark.createDataFrame([], "slot long, source string, doc_id long, n_tokens long, repetition int")
+    usable = usable.join(sources.select("source"), "source", "left_semi")
+    turns = _schedule(spark, sources, slots).join(sources.select("source", "blocks", "repeat"), "source")
+    turns = turns.select(
+        "slot", "source", (F.col("turn") % F.col("blocks")).cast("long").alias("block"), F.floor(F.col("turn") / F.col("blocks")).cast("int").alias("lap"), "repeat"
     )
     # The sequence may run a slot or two ahead of a source's last permitted lap.
-    slots = slots.where(F.col("lap") < F.col("most"))
+    turns = turns.where(F.col("lap") < F.col("repeat"))
     stocked = _stocked_blocks(usable, sources, seed)
-    return slots.join(stocked, ["source", "block"]).select(
+    return turns.join(stocked, ["source", "block"]).select(
         "slot", "source", "doc_id", "n_tokens", (F.col("lap") + 1).alias("repetition")
     )
 

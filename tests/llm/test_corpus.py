@@ -158,6 +158,14 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0), targets).count() == 0 and mixing.mix(docs, targets.limit(0)).count() == 0
 
 
+def test_mixing_of_very_many_sources(spark):
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('s', id % 15000) AS source", "200 + id % 7 AS n_tokens")
+    targets = spark.range(15_000).selectExpr("concat('s', id) AS source", "1.0 / 15000 AS part_cible", "3 AS repetitions_max")
+    mixed = mixing.mix(docs, targets.selectExpr("source", "cast(part_cible as double) part_cible", "cast(repetitions_max as int) repetitions_max"))
+    row = mixed.agg({"repetition": "max", "source": "count"}).first()
+    assert row["max(repetition)"] <= 3 and row["count(source)"] > 15_000
+
+
 def test_buckets_do_not_change_the_mix(spark, monkeypatch):
     docs = corpus(spark, {"a": 800, "b": 200})
     targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 9)], TARGETS)

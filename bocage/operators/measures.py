@@ -21,6 +21,18 @@ def cube_total(cube: DataFrame, **wanted) -> DataFrame:
     return cube.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
+def cube_totals(cube: DataFrame, scopes: dict[str, dict]) -> DataFrame:
+    """(scope, n): several totals in one pass over the cube."""
+    sums = []
+    for name, wanted in scopes.items():
+        fits = F.lit(True)
+        for column, value in wanted.items():
+            fits = fits & F.coalesce(F.col(column) == value, F.lit(False))
+        sums.append(F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias(name))
+    rows = F.array(*[F.struct(F.lit(name).alias("scope"), F.col(f"`{name}`").alias("n")) for name in scopes])
+    return cube.agg(*sums).select(F.explode(rows).alias("r")).select("r.*")
+
+
 def percentile_if(value: Column, q: float, condition: Column | None = None) -> Column:
     """Exact percentile with linear interpolation over the values that meet the condition."""
     return F.percentile(value if condition is None else F.when(condition, value), q)
@@ -58,8 +70,8 @@ def published_month(df: DataFrame, month: Column, share: float = 0.5) -> DataFra
 
 def rolling_year(df: DataFrame, day: str, last: DataFrame) -> DataFrame:
     """Rows of the twelve months that end with the month of a one-row table (first days as dates)."""
-    months = F.trunc(F.col(day), "month")
-    return df.join(last.select(F.col("month").alias("_last")), (months <= F.col("_last")) & (months > F.add_months("_last", -12))).drop("_last")
+    months = F.explode(F.sequence(F.add_months("month", -11), F.col("month"), F.expr("INTERVAL 1 MONTH"))).alias("_month")
+    return df.join(last.where("month IS NOT NULL").select(months), F.trunc(F.col(day), "month") == F.col("_month"), "left_semi")
 
 
 def latest_pivot(df: DataFrame, key: Sequence[str], period: str, measure: str, value: str, order: str, measures: Sequence[str]) -> DataFrame:

@@ -58,10 +58,9 @@ def overlapping(df: DataFrame, column: str, values: Sequence | None) -> DataFram
 
 def unknown_codes(codes: DataFrame, dictionary: DataFrame, code: str = "code") -> DataFrame:
     """Requested codes the dictionary lacks; an empty dictionary proves nothing, so none are."""
-    some = dictionary.select(F.lit(True).alias("some")).limit(1)
-    return codes.select(code).distinct().join(dictionary.select(code).distinct(), code, "left_anti").join(
-        some, F.lit(True), "left_semi"
-    )
+    some = dictionary.limit(1).select(F.lit(1).alias("_some"))
+    missing = codes.select(code).distinct().join(dictionary.select(code).distinct(), code, "left_anti")
+    return missing.withColumn("_some", F.lit(1)).join(some, "_some", "left_semi").drop("_some")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

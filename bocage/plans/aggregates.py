@@ -19,10 +19,10 @@ def count_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cube_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A3: totals from the cube under optional conditions."""
-    cube = count_cube(spark, sf_dir)
-    out = measures.cube_total(cube, specialite_code="24", code_departement="01").withColumn("scope", F.lit("infirmiers 01"))
-    out = out.unionByName(measures.cube_total(cube, specialite_code="01").withColumn("scope", F.lit("generalistes")))
-    return out.unionByName(measures.cube_total(cube, specialite_code="none").withColumn("scope", F.lit("inconnu")))
+    scopes = {
+        "infirmiers 01": {"specialite_code": "24", "code_departement": "01"}, "generalistes": {"specialite_code": "01"}, "inconnu": {"specialite_code": "none"},
+    }
+    return measures.cube_totals(count_cube(spark, sf_dir), scopes)
 
 
 def nomenclature(spark: SparkSession, sf_dir: str) -> DataFrame:

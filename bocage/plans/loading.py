@@ -90,7 +90,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same windows as a stream over the event files, run until nothing is left."""
     stream = events.event_stream(spark, sf_dir, pattern="events.parquet")
-    out = events.run_available(events.windowed_counts(stream, "1 day"), scratch_folder(spark, "windows"), "complete")
+    out = events.run_available(events.windowed_counts(stream, "1 day"), scratch_folder(spark, "windows"), "update", ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bocage.functions import geo
-from bocage.operators import mappers, query, rejects
+from bocage.operators import mappers, proximity, query, rejects
 from bocage.session import table
 
 
@@ -53,11 +53,9 @@ def by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communes within 40 km of the centre of another."""
     towns = table(spark, sf_dir, "communes").select("code_insee", "lon", "lat", "population")
-    middle = towns.where("code_insee = '01910'").select(F.col("lon").alias("x0"), F.col("lat").alias("y0"))
-    # One row by its key, so the join is with a single centre.
-    near = towns.join(middle, F.abs(F.col("lat") - F.col("y0")) <= 0.4)
-    metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("x0"), F.col("y0"))
-    return near.withColumn("metres", metres).where("metres <= 40000").select("code_insee", "population", F.round("metres", 3).alias("metres"))
+    middle = towns.where("code_insee = '01910'").select("lon", "lat")
+    near = proximity.near_spots(middle, towns.select("lon", "lat").distinct(), 40_000.0).select(F.col("bx").alias("lon"), F.col("by").alias("lat"), "metres")
+    return towns.join(near, ["lon", "lat"]).select("code_insee", "population", F.round("metres", 3).alias("metres"))
 
 
 def sales_window(spark: SparkSession, sf_dir: str) -> DataFrame:

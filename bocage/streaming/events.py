@@ -33,13 +33,22 @@ def sessions(df: DataFrame, gap: str = "30 minutes", ts: str = "ts", delay: str
     ).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def run_available(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, folder: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Process what is there as a stream; the result is kept, with the stream's own checkpoint, under ``folder``.
 
-    Complete results replace those of the trigger before, appended ones add up.
+    Complete results replace those of the trigger before, appended ones add up.  In ``update`` mode
+    each trigger writes only the rows that changed, and the last version of each of the ``keys``
+    holds, so state beyond the watermark is dropped and no trigger writes the whole result.
     """
     spark, out = df.sparkSession, f"{folder}/result"
     write = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "update":
+        # A trigger run again writes the same folder again.
+        query = write.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/trigger={i}")).start()
+        query.awaitTermination()
+        written = spark.read.schema(df.schema.add("trigger", "long")).parquet(out)
+        rest = [c for c in df.columns if c not in keys]
+        return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("_r")).select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
     if mode == "complete":
         query = write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     else:

@@ -105,6 +105,33 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str,
     return dealt.withColumn("score", text.dice(F.col(a), F.col(b))).where(F.col("score") >= least)
 
 
+def dice_join(left: DataFrame, a: str, right: DataFrame, b: str, least: float) -> DataFrame:
+    """(a, b, score): all pairs of distinct texts of two lists whose Dice coefficient reaches ``least``; none is lost.
+
+    Of each text only the rarest letter pairs are met, as many as it must share one of with any
+    text so like it; what meets is then scored.  Texts of less than two letters meet their equals.
+    """
+    share = least / (2 - least)  # the same threshold for shared over all letter pairs
+    texts = lambda df, c: df.select(F.col(c).alias("t")).where("t IS NOT NULL").distinct().select("t", text.numbered_pairs(F.col("t")).alias("grams"))
+    # The letter pairs of a text are made once and read by the counts, the prefixes and the scores.
+    sides = {side: checkpoint(texts(df, c)) for side, df, c in (("l", left, a), ("r", right, b))}
+    counts = sides["l"].unionByName(sides["r"]).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        grams = df.select("t", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(counts, "g")
+        place = F.row_number().over(Window.partitionBy("t").orderBy("df", "g"))
+        return grams.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("t", "n", "g")
+
+    l, r = rarest(sides["l"]).select(F.col("t").alias(a), F.col("n").alias("na"), "g"), rarest(sides["r"]).select(F.col("t").alias(b), F.col("n").alias("nb"), "g")
+    near = (F.col("na") * share <= F.col("nb") + 1e-9) & (F.col("nb") * share <= F.col("na") + 1e-9)
+    met = l.join(r, "g").where(near & (F.col(a) != F.col(b))).select(a, b).distinct()
+    held = lambda side, c, out: sides[side].select(F.col("t").alias(c), F.col("grams").alias(out))
+    both = met.join(held("l", a, "ga"), a).join(held("r", b, "gb"), b)
+    score = F.lit(2.0) * F.size(F.array_intersect("ga", "gb")) / (F.size("ga") + F.size("gb"))
+    equal = sides["l"].join(sides["r"].select("t"), "t").select(F.col("t").alias(a), F.col("t").alias(b), F.lit(1.0).alias("score"))
+    return both.select(a, b, score.alias("score")).where(F.col("score") >= least).unionByName(equal)
+
+
 def name_verdict(candidates: DataFrame, query: str, least: float) -> DataFrame:
     """Per query: whether its retained candidates are none, one, of one commune, or of several."""
     kept = candidates.where(F.col("similarity") >= least)

@@ -34,10 +34,13 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the candidates of each searched name prove about its commune."""
-    df = table(spark, sf_dir, "sirene_etablissements").where("enseigne IS NOT NULL").select(
-        text.compare_key(F.col("enseigne")).alias("query"), F.col("siret"), F.col("code_commune").alias("commune"), F.lit(1.0).alias("similarity")
+    df = table(spark, sf_dir, "sirene_etablissements").select(
+        text.compare_key(F.col("enseigne")).alias("query"), text.compare_key(F.col("raison_sociale_unite_legale")).alias("name"), "siret", F.col("code_commune").alias("commune")
     ).distinct()
-    return matching.name_verdict(df, "query", 0.8)
+    names = df.select("siret", "commune", F.explode(F.array("query", "name")).alias("name")).where("name IS NOT NULL").distinct()
+    pairs = matching.dice_join(df.select("query"), "query", names, "name", 0.7)
+    found = pairs.join(names, "name").groupBy("query", "siret", "commune").agg(F.max("score").alias("similarity"))
+    return matching.name_verdict(found, "query", 0.8)
 
 
 def people_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,9 +166,13 @@ n2 AS (SELECT DISTINCT siret, enseigne, a, b FROM n)
 SELECT siret, enseigne, round({sql_dice("a", "b")}, 6) AS score FROM n2""",
     "x04_trigram_scores": f"""SELECT p_partkey, round({sql_trigram("'part 12'", "p_name")}, 6) AS name_score,
   round(({sql_trigram("'part 12'", "p_name")} + {sql_trigram("'standard'", "p_type")}) / 2, 6) AS mean_score FROM part""",
-    "c05_name_verdicts": f"""WITH n AS (SELECT DISTINCT {sql_compare("enseigne")} AS query, siret, code_commune AS commune FROM sirene_etablissements WHERE enseigne IS NOT NULL)
+    "c05_name_verdicts": f"""WITH d AS (SELECT DISTINCT {sql_compare("enseigne")} AS query, {sql_compare("raison_sociale_unite_legale")} AS name, siret, code_commune AS commune FROM sirene_etablissements),
+n AS (SELECT DISTINCT siret, commune, name FROM (SELECT siret, commune, unnest([query, name]) AS name FROM d) WHERE name IS NOT NULL),
+q AS (SELECT DISTINCT query FROM d WHERE query IS NOT NULL), t AS (SELECT DISTINCT name FROM n),
+p AS (SELECT query, name, {sql_dice("query", "name")} AS score FROM q, t WHERE abs(length(query) - length(name)) <= 0.25 * (length(query) + length(name))),
+f AS (SELECT DISTINCT query, siret, commune FROM p JOIN n USING (name) WHERE score >= 0.8)
 SELECT query, count(*) AS n_candidates, CAST(count(DISTINCT commune) AS INT) AS n_communes, CASE WHEN count(*) = 1 THEN 'unique' WHEN count(DISTINCT commune) = 1 THEN 'one_commune' ELSE 'several_communes' END AS verdict,
-  CASE WHEN count(DISTINCT commune) = 1 THEN min(commune) END AS commune FROM n GROUP BY 1""",
+  CASE WHEN count(DISTINCT commune) = 1 THEN min(commune) END AS commune FROM f GROUP BY 1""",
     "c09_people_search": f"""WITH p AS (SELECT DISTINCT id, nom, prenom FROM annuaire_ameli),
 s AS (SELECT id, {sql_trigram("'bironeau'", "nom")} AS a, {sql_trigram("'josephine'", "prenom")} AS b FROM p WHERE nom IS NOT NULL AND prenom IS NOT NULL)
 SELECT id, round((a + b) / 2, 6) AS similarity FROM s WHERE a >= 0.3 AND b >= 0.3 ORDER BY (a + b) / 2 DESC, id LIMIT 501""",

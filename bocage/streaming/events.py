@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -46,7 +47,7 @@ def run_available(df: DataFrame, folder: str, mode: str = "append", keys: list[s
         # A trigger run again writes the same folder again.
         query = write.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/trigger={i}")).start()
         query.awaitTermination()
-        written = spark.read.schema(df.schema.add("trigger", "long")).parquet(out)
+        written = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("trigger", T.LongType())])).parquet(out)
         rest = [c for c in df.columns if c not in keys]
         return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "trigger").alias("_r")).select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
     if mode == "complete":

@@ -161,3 +161,49 @@ def test_quality(spark):
         quality.enforce(quality.evaluate(df, [quality.Rule("rows", F.count("*"), 4, None)]))
     assert [quality.relative_band(95, 100), quality.relative_band(50, 100), quality.relative_band(5, None)] == ["ok", "refused", "skipped"]
     assert {r["ok"] for r in quality.evaluate(df.limit(0), [quality.Rule("nulls", quality.rate(F.col("x").isNull()), None, 0.1)]).collect()} == {True}
+
+
+def test_dice_join_loses_nothing(spark):
+    import random
+
+    from bocage.functions import text
+    from bocage.operators import matching
+
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(220)} | {"aaaa", "aaaaa", "x"}
+    df = spark.createDataFrame([(w,) for w in sorted(words)] + [(None,)], "w string")
+    a, b = df.withColumnRenamed("w", "a"), df.withColumnRenamed("w", "b")
+    every = a.join(b, F.lit(True)).where(text.dice(F.col("a"), F.col("b")) >= 0.6)
+    got = {(r["a"], r["b"]) for r in matching.dice_join(a, "a", b, "b", 0.6).collect()}
+    assert got == {(r["a"], r["b"]) for r in every.collect()} and len(got) > len(words)
+
+
+def test_work_queue_gives_stale_rejections_one_more_try(spark):
+    from bocage.operators import quality
+
+    keys = spark.range(8).selectExpr("id AS k")
+    cache = spark.createDataFrame([(0, True, 1, True), (1, False, 2, False), (2, False, 3, False), (3, False, 3, True), (4, False, 4, True)], "k long, accepted boolean, attempts int, old boolean")
+    work = quality.work_selection(keys, cache, "k", stale=F.col("old"))
+    assert {r["k"] for r in work.collect()} == {1, 3, 5, 6, 7}
+    queue = quality.work_queue(work, "k", 4).collect()
+    assert [(r["k"], r["attempts"], r["remaining"]) for r in sorted(queue, key=lambda r: (r["attempts"], r["k"]))] == [(5, 0, 1), (6, 0, 1), (7, 0, 1), (1, 2, 1)]
+
+
+def test_profiles_and_sections_of_nothing(spark):
+    import pytest
+
+    from bocage.operators import profiles
+
+    areas = spark.createDataFrame([("010010101", 1.0, 44.0, 100, 20, 30, None)], "code string, lon double, lat double, population long, young long, old long, income long")
+    regions = spark.createDataFrame([("010010101", "POLYGON((0 43,2 43,2 45,0 45,0 43))")], "code string, geom string")
+    assert profiles.area_profile(areas, regions, point=(1.0, 44.0)).first()["population"] == 100
+    assert profiles.area_profile(areas, regions, point=(5.0, 44.0)).count() == 0
+    assert profiles.area_profile(areas, regions, code="99").count() == 0
+    assert profiles.area_profile(areas, regions, code="01001", radius_m=10.0).first()["n_areas"] == 1
+    with pytest.raises(ValueError):
+        profiles.area_profile(areas, regions)
+    assert profiles.section(areas.limit(0), "x", 5).first()["status"] == "empty"
+    ids = spark.createDataFrame([("a",), ("b",), ("b",)], "k string")
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2)], "k string, v int")
+    got = {r["k"]: (r["v"], r["n_rows"], r["several"]) for r in profiles.one_row_each(rows, "k", ids, ["v"]).collect()}
+    assert got == {"a": (2, 2, True), "b": (None, 0, False)}

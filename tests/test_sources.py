@@ -117,6 +117,8 @@ def test_streams_match_batch(spark, tmp_path):
     got = events.run_available(events.windowed_counts(stream, "1 day"), str(tmp_path / "c1"), "complete").collect()
     batch = events.windowed_counts(df, "1 day").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+    updated = events.run_available(events.windowed_counts(events.event_stream(spark, folder, 1), "1 day"), str(tmp_path / "c3"), "update", ["start", "event_type"])
+    assert sorted(map(tuple, updated.collect())) == sorted(map(tuple, batch))
     unique = events.run_available(events.once(events.event_stream(spark, folder), delay="30 days"), str(tmp_path / "c2"))
     assert unique.select("event_id").distinct().count() == unique.count() == 30
     assert events.sessions(df, "90 minutes").agg(F.sum("n")).first()[0] == 60

@@ -97,6 +97,8 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     ``left`` is the side replicated into the neighbouring cells; pass the smaller one.  Equal points
     meet once, whatever the number of rows at them.
     """
+    # Read for the spots and again for the keys at them, so parsed once.
+    left, right = checkpoint(left.select("key", "lon", "lat")), checkpoint(right.select("key", "lon", "lat"))
     spots = near_spots(left.select("lon", "lat").distinct(), right.select("lon", "lat").distinct(), radius_m)
     a = left.select(F.col("key").alias("left_key"), F.col("lon").alias("ax"), F.col("lat").alias("ay"))
     b = right.select(F.col("key").alias("right_key"), F.col("lon").alias("bx"), F.col("lat").alias("by"))

@@ -132,7 +132,7 @@ def segments(word: str, probing: bool) -> set[str]:
 def _keys(probing: bool, most: int):
     def run(batches):
         for pdf in batches:
-            rows = []
+            words, keys = [], []
             for word in pdf["word"]:
                 found = set()
                 if typo_allowance(len(word)):
@@ -141,8 +141,9 @@ def _keys(probing: bool, most: int):
                         found |= deletions(word, most)
                     if len(word) > LONG_WORD - 2:
                         found |= segments(word, probing)
-                rows += [(word, key) for key in found]
-            yield pd.DataFrame(rows, columns=["word", "key"])
+                words += [word] * len(found)
+                keys += found
+            yield pd.DataFrame({"word": words, "key": keys})
 
     return run
 

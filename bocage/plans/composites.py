@@ -187,6 +187,15 @@ def implantation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def market_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of a study of the market: communes with full years of sales, zones and sales near a point."""
+    df = table(spark, sf_dir, "dvf_mutations")
+    years = df.where("date_mutation IS NOT NULL").groupBy("code_commune", F.year("date_mutation").alias("y")).agg(F.countDistinct(F.month("date_mutation")).alias("m"))
+    sales = query.in_radius(df.withColumns({"lon": F.col("longitude"), "lat": F.col("latitude")}), LON, LAT, 25_000.0)
+    out = profiles.section(years.where("m = 12").select("code_commune").distinct(), "full_years", 1000)
+    return out.unionByName(profiles.section(zones_near(spark, sf_dir), "zones", 100)).unionByName(profiles.section(sales, "sales", 1000))
+
+
 def permit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q8: the gate of a monthly table: communes, invalid codes, yearly totals, years short of months, and how late it is."""
     df = table(spark, sf_dir, "dvf_mutations")
@@ -272,7 +281,7 @@ QUERIES = {
     "c03_facility_by_id": facility_by_id, "c10_person_by_id": person_by_id, "c08_facility_roster": facility_roster, "c14_area_profiles": area_profiles,
     "c15_populations": populations, "c17_hosted_activities": hosted_activities, "c21_zones_near": zones_near, "t09_ranked_candidates": ranked_candidates,
     "c23_site_resolution": site_resolution, "c25_successions": site_successions, "c27_company_names": company_names, "a28_establishment_names": establishment_names,
-    "c37_site_inspection": site_inspection, "c36_competitors": competitors, "c35_implantation": implantation, "q08_permit_gate": permit_gate, "q06_diff_gate": diff_gate,
+    "c37_site_inspection": site_inspection, "c36_competitors": competitors, "c35_implantation": implantation, "c22_market_study": market_study, "q08_permit_gate": permit_gate, "q06_diff_gate": diff_gate,
     "q13_work_queue": work_queue, "a26_work_counts": work_counts, "a23_family_counts": family_counts, "proj23_period_labels": period_labels,
     "x16_message_values": message_values, "proj14_stored_points": stored_points, "n03_site_features": site_features,
 }
@@ -369,6 +378,12 @@ UNION ALL SELECT 'sales', count(*) FROM dvf_mutations WHERE {sql_metres("longitu
 UNION ALL SELECT 'communes', count(*) FROM tw UNION ALL SELECT 'sites', count(DISTINCT siret) FROM sirene_etablissements WHERE actif AND code_commune IN (SELECT code_insee FROM tw)
 UNION ALL SELECT 'freshness', count(DISTINCT source) FROM data_freshness)
 SELECT section, n, n > 100 AS truncated, CASE WHEN n = 0 THEN 'empty' ELSE 'ok' END AS status FROM s""",
+    "c22_market_study": f"""WITH {_AREAS}, k AS (SELECT code_iris AS code, max(type_iris) AS kind FROM iris GROUP BY 1),
+y AS (SELECT code_commune FROM dvf_mutations WHERE date_mutation IS NOT NULL GROUP BY code_commune, year(date_mutation) HAVING count(DISTINCT month(date_mutation)) = 12),
+s AS (SELECT 'full_years' AS section, (SELECT count(*) FROM (SELECT DISTINCT code_commune FROM y)) AS n, 1000 AS most
+UNION ALL SELECT 'zones', count(*), 100 FROM areas JOIN k USING (code) WHERE (kind LIKE 'D%' OR kind LIKE 'A%') AND {sql_metres("lon", "lat")} <= 120000
+UNION ALL SELECT 'sales', count(*), 1000 FROM dvf_mutations WHERE {sql_metres("longitude", "latitude")} <= 25000)
+SELECT section, n, n > most AS truncated, CASE WHEN n = 0 THEN 'empty' ELSE 'ok' END AS status FROM s""",
     "q08_permit_gate": "WITH t AS (SELECT * FROM dvf_mutations), y AS (SELECT year(date_mutation) AS y, count(*) AS n, count(DISTINCT month(date_mutation)) AS m FROM dvf_mutations WHERE date_mutation IS NOT NULL GROUP BY 1) "
     + " UNION ALL ".join(
         [

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bocage.functions import codes
+from bocage.functions.numbers import round_half_up
 from bocage.operators import quality
 from bocage.session import scratch_folder, table
 from bocage.streaming import events
@@ -57,7 +58,7 @@ def geocode_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def territory_panorama(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of a study of each département, whatever of them there is."""
+    """Sections of a study of each département with their densities, whatever of them there is."""
     people = table(spark, sf_dir, "annuaire_ameli").groupBy("code_departement").agg(F.countDistinct("id").alias("n_people"))
     centres = table(spark, sf_dir, "centres_sante").groupBy("code_departement").agg(F.countDistinct("etab_finess").alias("n_centres"))
     sales = table(spark, sf_dir, "dvf_mutations").groupBy(codes.department_of_insee(F.col("code_commune")).alias("code_departement")).agg(F.count("*").alias("n_sales"))
@@ -69,7 +70,10 @@ def territory_panorama(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.when(F.col("n_people").isNull(), "people"), F.when(F.col("n_centres").isNull(), "centres"), F.when(F.col("n_sales").isNull(), "sales")),
         lambda x: x.isNotNull(),
     )
-    return out.select("code_departement", "population", "n_people", "n_centres", "n_sales", F.array_join(missing, ",").alias("missing"))
+    rate = lambda c: F.when(F.col("population") > 0, round_half_up(F.col(c) * 100_000.0 / F.col("population"), 2)).alias(f"{c}_rate")
+    return out.select(
+        "code_departement", "population", "n_people", "n_centres", "n_sales", rate("n_people"), rate("n_centres"), rate("n_sales"), F.array_join(missing, ",").alias("missing")
+    )
 
 
 def iris_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +162,8 @@ SELECT k, good AS accepted, CAST(CASE WHEN good THEN lon END AS DOUBLE) AS lon,
     "c34_territory_panorama": """WITH p AS (SELECT code_departement, count(DISTINCT id) AS n_people FROM annuaire_ameli GROUP BY 1), c AS (SELECT code_departement, count(DISTINCT etab_finess) AS n_centres FROM centres_sante GROUP BY 1),
 s AS (SELECT CASE WHEN code_commune[1:2] IN ('97', '98') THEN CASE WHEN length(code_commune) >= 3 THEN code_commune[1:3] END WHEN length(code_commune) >= 2 THEN code_commune[1:2] END AS code_departement, count(*) AS n_sales FROM dvf_mutations GROUP BY 1),
 t AS (SELECT code_departement, CAST(sum(population) AS BIGINT) AS population FROM communes GROUP BY 1)
-SELECT code_departement, population, n_people, n_centres, n_sales,
+SELECT code_departement, population, n_people, n_centres, n_sales, floor(n_people * 100000.0 / population * 100 + 0.5) / 100 AS n_people_rate,
+  floor(n_centres * 100000.0 / population * 100 + 0.5) / 100 AS n_centres_rate, floor(n_sales * 100000.0 / population * 100 + 0.5) / 100 AS n_sales_rate,
   concat_ws(',', CASE WHEN n_people IS NULL THEN 'people' END, CASE WHEN n_centres IS NULL THEN 'centres' END, CASE WHEN n_sales IS NULL THEN 'sales' END) AS missing
 FROM t LEFT JOIN p USING (code_departement) LEFT JOIN c USING (code_departement) LEFT JOIN s USING (code_departement)""",
     "c13_iris_profiles": "WITH "

@@ -102,10 +102,18 @@ SITE_SCHEMA = T.StructType(
 )
 
 
-def read_sites(spark: SparkSession, path: str) -> DataFrame:
+def read_sites(spark: SparkSession, path: str, under: str | None = None, lines: bool = False) -> DataFrame:
     """Sites out of nested JSON: the geographic address (usage 03), the first contact that has a value,
-    cleaned names, and the reason why a site cannot be loaded, if any."""
-    raw = spark.read.schema(SITE_SCHEMA).option("multiLine", True).json(path)
+    cleaned names, and the reason why a site cannot be loaded, if any.
+
+    ``under`` names the array of legal entities that holds their sites: each entity gives a row a
+    site.  ``lines`` reads one object a line, so that a large file is split among tasks; without it
+    a file is one JSON array and one task.
+    """
+    schema = SITE_SCHEMA if under is None else T.StructType([T.StructField(under, T.ArrayType(SITE_SCHEMA))])
+    raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
+    if under is not None:
+        raw = raw.select(F.explode(under).alias("_site")).select("_site.*")
     general = "informationsGeneralesEGE"
     place = F.try_element_at(F.filter("adresse", lambda a: a["usageAdresse"] == "03"), F.lit(1))
     spot = F.col("place.coordonneesGeographique")

@@ -55,6 +55,11 @@ def test_sites(spark, tmp_path):
     good = got["010000001"]
     assert (good["name"], good["street"], good["commune"], good["lon"], good["phone"], good["opened"], good["skip_reason"]) == ("Centre X", "1 RUE X", "01001", 1.5, "010203", dt.date(2020, 1, 31), None)
     assert [got[k]["skip_reason"] for k in ("bad", "010000002", "010000003")] == ["bad_id", "closed", "no_commune"]
+    entities = [{"sites": [one("010000001"), one("010000002")]}, {"sites": []}, {"sites": None}, {"sites": [one("010000004")]}]
+    (tmp_path / "e.json").write_text("\n".join(map(json.dumps, entities)))
+    nested = files.read_sites(spark, str(tmp_path / "e.json"), under="sites", lines=True)
+    assert sorted(r["num_finess"] for r in nested.collect()) == ["010000001", "010000002", "010000004"]
+    assert nested.columns == files.read_sites(spark, str(tmp_path / "s.json")).columns
 
 
 def test_file_choice(spark, tmp_path):

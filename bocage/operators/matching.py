@@ -120,10 +120,12 @@ def dice_join(left: DataFrame, a: str, right: DataFrame, b: str, least: float) -
     def rarest(df: DataFrame) -> DataFrame:
         grams = df.select("t", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(counts, "g")
         place = F.row_number().over(Window.partitionBy("t").orderBy("df", "g"))
-        return grams.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("t", "n", "g")
+        return grams.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("t", "n", "g", "place")
 
-    l, r = rarest(sides["l"]).select(F.col("t").alias(a), F.col("n").alias("na"), "g"), rarest(sides["r"]).select(F.col("t").alias(b), F.col("n").alias("nb"), "g")
-    near = (F.col("na") * share <= F.col("nb") + 1e-9) & (F.col("nb") * share <= F.col("na") + 1e-9)
+    named = lambda df, c, n, p: df.select(F.col("t").alias(c), F.col("n").alias(n), F.col("place").alias(p), "g")
+    l, r = named(rarest(sides["l"]), a, "na", "pa"), named(rarest(sides["r"]), b, "nb", "pb")
+    # The first pair of letters they share leaves too few behind it unless they are alike.
+    near = F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least / 2 * (F.col("na") + F.col("nb")) - 1e-9
     met = l.join(r, "g").where(near & (F.col(a) != F.col(b))).select(a, b).distinct()
     held = lambda side, c, out: sides[side].select(F.col("t").alias(c), F.col("grams").alias(out))
     both = met.join(held("l", a, "ga"), a).join(held("r", b, "gb"), b)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bocage.operators import measures, proximity, query
+from bocage.session import checkpoint
 
 
 def one_row_each(df: DataFrame, key: str, wanted: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -72,7 +73,8 @@ def resolved(candidates: DataFrame, key: str, candidate: str, owner: str, score:
     of one owner is resolved to its best-scored, of several it is ambiguous unless one leads by
     score; nothing left is ``none``.
     """
-    gated = candidates.withColumn("_ok", (F.col(address) >= least_address) & (F.col(name) >= least_name))
+    # Read for the lead of each key and again for ties with it.
+    gated = checkpoint(candidates.select(key, candidate, owner, score, name, address)).withColumn("_ok", (F.col(address) >= least_address) & (F.col(name) >= least_name))
     best = F.max(F.when(F.col("_ok"), F.struct(score, name, candidate)))
     lead = gated.groupBy(key).agg(
         best.alias("_b"), F.countDistinct(F.when(F.col("_ok"), F.col(owner))).alias("_owners"), F.max(F.when(F.col("_ok"), F.col(score))).alias("_top")

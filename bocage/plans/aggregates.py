@@ -49,26 +49,22 @@ def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     price = F.when((F.col("prix_m2") > 0) & (F.col("prix_m2") < 1e12), F.col("prix_m2"))
     land = F.col("surface_terrain") > 0
-    return df.agg(
+    plain = df.agg(
         F.count("*").alias("n_rows"), F.count(price).alias("n_prices"), F.count_if(land).alias("n_lands"),
-        *[F.round(measures.percentile_if(price, q), 4).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)],
-        F.round(measures.percentile_if(F.col("surface_terrain"), 0.5, land), 4).alias("median_land"),
-        F.min("date_mutation").alias("first_day"), F.max("date_mutation").alias("last_day"),
+        F.min("date_mutation").alias("first_day"), F.max("date_mutation").alias("last_day"), F.lit(0).alias("_one"),
     )
+    wanted = {f"p{round(q * 100)}": (price, q) for q in (0.25, 0.5, 0.75)} | {"median_land": (F.when(land, F.col("surface_terrain")), 0.5)}
+    exact = measures.exact_percentiles(df, [], wanted).select(*[F.round(n, 4).alias(n) for n in wanted], F.lit(0).alias("_one"))
+    return plain.join(exact, "_one", "left").drop("_one")
 
 
 def sales_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A9 on the largest table: price percentiles by supplier with a filtered median, in cents.
-
-    Halfway values are nudged up by far less than a cent, so engines that differ in the last
-    bit of an interpolation still round alike.
-    """
+    """A9 on the largest table: price percentiles by supplier with a filtered median."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    cents = lambda value: F.floor(value * 100 + 0.500001) / 100
+    exact = lambda q, condition=None: F.round(measures.percentile_if(price, q, condition), 6)
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), *[cents(measures.percentile_if(price, q)).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)],
-        cents(measures.percentile_if(price, 0.5, F.col("l_discount") > 0.05)).alias("median_discounted"),
-    )
+        F.count("*").alias("n"), *[exact(q).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)], exact(0.5, F.col("l_discount") > 0.05).alias("median_discounted")
+    )
 
 
 def first_wins_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +174,8 @@ SELECT count(*) AS n_rows, count(p) AS n_prices, count_if(surface_terrain > 0) A
   round(quantile_cont(p, 0.75), 4) AS p75, round(quantile_cont(surface_terrain, 0.5) FILTER (WHERE surface_terrain > 0), 4) AS median_land,
   min(date_mutation) AS first_day, max(date_mutation) AS last_day FROM r""",
     "a09_sales_percentiles": """WITH p AS (SELECT l_suppkey, l_extendedprice / l_quantity AS p, l_discount FROM lineitem)
-SELECT l_suppkey, count(*) AS n, floor(quantile_cont(p, 0.25) * 100 + 0.500001) / 100 AS p25, floor(quantile_cont(p, 0.5) * 100 + 0.500001) / 100 AS p50,
-  floor(quantile_cont(p, 0.75) * 100 + 0.500001) / 100 AS p75, floor(quantile_cont(p, 0.5) FILTER (WHERE l_discount > 0.05) * 100 + 0.500001) / 100 AS median_discounted FROM p GROUP BY 1""",
+SELECT l_suppkey, count(*) AS n, round(quantile_cont(p, 0.25), 6) AS p25, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.75), 6) AS p75,
+  round(quantile_cont(p, 0.5) FILTER (WHERE l_discount > 0.05), 6) AS median_discounted FROM p GROUP BY 1""",
     "a11_first_wins_sets": """WITH l AS (SELECT *, row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus) AS ord FROM lineitem),
 f AS (SELECT l_orderkey, arg_min(l_returnflag, ord) AS l_returnflag, arg_min(l_suppkey, ord) AS l_suppkey FROM l GROUP BY 1),
 p AS (SELECT l_orderkey, l_partkey, arg_max(l_linestatus, ord) AS s FROM l GROUP BY 1, 2)

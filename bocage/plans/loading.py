@@ -98,6 +98,20 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
+def streamed_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event once, as a stream that forgets keys beyond its watermark, then counted by type."""
+    stream = events.event_stream(spark, sf_dir, pattern="events.parquet")
+    out = events.run_available(events.once(stream, delay="400 days"), scratch_folder(spark, "unique"))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users with a gap of six hours, as a stream: how many there are of each length."""
+    stream = events.event_stream(spark, sf_dir, pattern="events.parquet")
+    out = events.run_available(events.sessions(stream, "6 hours"), scratch_folder(spark, "sessions"), "complete")
+    return out.groupBy(F.col("n").alias("n_events")).agg(F.count("*").alias("n_sessions"))
+
+
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value out of the JSON of each event, by type."""
     k = F.get_json_object("props", "$.k").try_cast("long")
@@ -118,6 +132,7 @@ def order_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "q07_sales_gate": sales_gate, "q09_directory_gate": directory_gate, "q13_geocode_work": geocode_work, "q14_geocode_results": geocode_results,
     "c34_territory_panorama": territory_panorama, "c13_iris_profiles": iris_profiles, "s_event_windows": event_windows, "s_streamed_windows": streamed_windows,
+    "s_streamed_unique": streamed_unique, "s_streamed_sessions": streamed_sessions,
     "n02_event_properties": event_properties, "a00_order_revenue": order_revenue,
 }
 
@@ -173,6 +188,10 @@ FROM t LEFT JOIN p USING (code_departement) LEFT JOIN c USING (code_departement)
     + " SELECT code_iris, count(DISTINCT etab_finess) AS n_people FROM inside GROUP BY 1",
     "s_event_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "s_streamed_windows": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
+    "s_streamed_unique": "SELECT event_type, count(DISTINCT event_id) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1",
+    "s_streamed_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g), c AS (SELECT user_id, no, count(*) AS n_events FROM s GROUP BY 1, 2)
+SELECT n_events, count(*) AS n_sessions FROM c GROUP BY 1""",
     "n02_event_properties": """SELECT event_type, count(k) AS n_k, CAST(sum(k) AS BIGINT) AS sum_k, max(k) AS max_k
 FROM (SELECT event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""",
     "a00_order_revenue": """WITH l AS (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM lineitem GROUP BY 1)

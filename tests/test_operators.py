@@ -207,3 +207,21 @@ def test_profiles_and_sections_of_nothing(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2)], "k string, v int")
     got = {r["k"]: (r["v"], r["n_rows"], r["several"]) for r in profiles.one_row_each(rows, "k", ids, ["v"]).collect()}
     assert got == {"a": (2, 2, True), "b": (None, 0, False)}
+
+
+def test_exact_percentiles_hold_no_group_whole(spark, monkeypatch):
+    import numpy as np
+
+    from bocage.operators import measures
+
+    monkeypatch.setattr(measures, "ACCURACY", 50)
+    rng = random.Random(7)
+    sizes = [("a", 3000), ("b", 5), ("c", 1), (None, 40), *((f"s{n}", n) for n in range(2, 130, 3))]
+    rows = [(g, rng.choice((1.5, 7.0, rng.gauss(0, 9), rng.gauss(0, 9)))) for g, n in sizes for _ in range(n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    wanted = {f"q{i}": (F.col("v"), q) for i, q in enumerate((0.0, 0.25, 0.5, 0.99, 1.0))}
+    for r in measures.exact_percentiles(df, ["g"], wanted).collect():
+        values = [v for g, v in rows if g == r["g"] and v is not None]
+        got = [r[n] for n in wanted]
+        assert (got == [None] * 5) if not values else np.allclose(got, np.percentile(values, [0, 25, 50, 99, 100]), rtol=1e-12)
+    assert measures.exact_percentiles(df.limit(0), [], wanted).count() == 0

@@ -61,7 +61,7 @@ def price_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A9 on the largest table: price percentiles by supplier with a filtered median."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    exact = lambda q, condition=None: F.round(measures.percentile_if(price, q, condition), 6)
+    exact = lambda q, condition=None: F.round(measures.percentile_if(price, q, condition), 9)
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
         F.count("*").alias("n"), *[exact(q).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)], exact(0.5, F.col("l_discount") > 0.05).alias("median_discounted")
     )
@@ -174,8 +174,8 @@ SELECT count(*) AS n_rows, count(p) AS n_prices, count_if(surface_terrain > 0) A
   round(quantile_cont(p, 0.75), 4) AS p75, round(quantile_cont(surface_terrain, 0.5) FILTER (WHERE surface_terrain > 0), 4) AS median_land,
   min(date_mutation) AS first_day, max(date_mutation) AS last_day FROM r""",
     "a09_sales_percentiles": """WITH p AS (SELECT l_suppkey, l_extendedprice / l_quantity AS p, l_discount FROM lineitem)
-SELECT l_suppkey, count(*) AS n, round(quantile_cont(p, 0.25), 6) AS p25, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.75), 6) AS p75,
-  round(quantile_cont(p, 0.5) FILTER (WHERE l_discount > 0.05), 6) AS median_discounted FROM p GROUP BY 1""",
+SELECT l_suppkey, count(*) AS n, round(quantile_cont(p, 0.25), 9) AS p25, round(quantile_cont(p, 0.5), 9) AS p50, round(quantile_cont(p, 0.75), 9) AS p75,
+  round(quantile_cont(p, 0.5) FILTER (WHERE l_discount > 0.05), 9) AS median_discounted FROM p GROUP BY 1""",
     "a11_first_wins_sets": """WITH l AS (SELECT *, row(l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_linestatus) AS ord FROM lineitem),
 f AS (SELECT l_orderkey, arg_min(l_returnflag, ord) AS l_returnflag, arg_min(l_suppkey, ord) AS l_suppkey FROM l GROUP BY 1),
 p AS (SELECT l_orderkey, l_partkey, arg_max(l_linestatus, ord) AS s FROM l GROUP BY 1, 2)

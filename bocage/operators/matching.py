@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bocage.functions import text
+from bocage.operators import likeness
 from bocage.session import checkpoint
 
 
@@ -106,42 +109,74 @@ def blocked_pairs(left: DataFrame, right: DataFrame, block: str, a: str, b: str,
 
 
 def dice_join(left: DataFrame, a: str, right: DataFrame, b: str, least: float) -> DataFrame:
-    """(a, b, score): all pairs of distinct texts of two lists whose Dice coefficient reaches ``least``; none is lost.
-
-    Of each text only the rarest letter pairs are met, as many as it must share one of with any
-    text so like it; what meets is then scored.  Texts of less than two letters meet their equals.
+    """(a, b, score): all pairs of distinct texts of two lists whose Dice coefficient reaches ``least``; none is lost."""
+    l = checkpoint(left.select(F.col(a).alias("l")).where("l IS NOT NULL").distinct())
+    r = checkpoint(right.select(F.col(b).alias("r")).where("r IS NOT NULL").distinct())
+    n = likeness.blocks(l, "l")
+    m = likeness.blocks(r, "r", n)
+
+    def run(pdf):
+        queries, names = pdf["l"].dropna().tolist(), pdf["r"].dropna().tolist()
+        rows = []
+        for i, found, scores in likeness.alike(queries, names, least):
+            rows += zip([queries[i]] * len(found), (names[j] for j in found), scores)
+            if len(rows) >= 50_000:
+                yield pd.DataFrame(rows, columns=[a, b, "score"])
+                rows = []
+        yield pd.DataFrame(rows, columns=[a, b, "score"])
+
+    dealt = lambda df, c, count: df.withColumn("block", likeness.dealt(count, c))
+    return likeness.tiles(dealt(l, "l", n), dealt(r, "r", m), n, m, run, f"`{a}` string, `{b}` string, score double")
+
+
+def name_verdict(queries: DataFrame, sites: DataFrame, least: float) -> DataFrame:
+    """Per query: whether the sites with a name like it are none, one, of one commune, or of several.
+
+    ``queries`` holds ``query``; ``sites`` holds ``siret``, ``commune`` and ``name``, a row a name.  The sites
+    are counted where they are compared, so no pair is shuffled: a commune is in one block with all its sites,
+    unless it is large or null; the sites of these are dealt out, and the large ones counted by name.
     """
-    share = least / (2 - least)  # the same threshold for shared over all letter pairs
-    texts = lambda df, c: df.select(F.col(c).alias("t")).where("t IS NOT NULL").distinct().select("t", text.numbered_pairs(F.col("t")).alias("grams"))
-    # The letter pairs of a text are made once and read by the counts, the prefixes and the scores.
-    sides = {side: checkpoint(texts(df, c)) for side, df, c in (("l", left, a), ("r", right, b))}
-    counts = sides["l"].unionByName(sides["r"]).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-
-    def rarest(df: DataFrame) -> DataFrame:
-        grams = df.select("t", F.size("grams").alias("n"), F.explode("grams").alias("g")).join(counts, "g")
-        place = F.row_number().over(Window.partitionBy("t").orderBy("df", "g"))
-        return grams.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("t", "n", "g", "place")
-
-    named = lambda df, c, n, p: df.select(F.col("t").alias(c), F.col("n").alias(n), F.col("place").alias(p), "g")
-    l, r = named(rarest(sides["l"]), a, "na", "pa"), named(rarest(sides["r"]), b, "nb", "pb")
-    # The first pair of letters they share leaves too few behind it unless they are alike.
-    near = F.lit(1) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least / 2 * (F.col("na") + F.col("nb")) - 1e-9
-    met = l.join(r, "g").where(near & (F.col(a) != F.col(b))).select(a, b).distinct()
-    held = lambda side, c, out: sides[side].select(F.col("t").alias(c), F.col("grams").alias(out))
-    both = met.join(held("l", a, "ga"), a).join(held("r", b, "gb"), b)
-    score = F.lit(2.0) * F.size(F.array_intersect("ga", "gb")) / (F.size("ga") + F.size("gb"))
-    equal = sides["l"].join(sides["r"].select("t"), "t").select(F.col("t").alias(a), F.col("t").alias(b), F.lit(1.0).alias("score"))
-    return both.select(a, b, score.alias("score")).where(F.col("score") >= least).unionByName(equal)
-
-
-def name_verdict(candidates: DataFrame, query: str, least: float) -> DataFrame:
-    """Per query: whether its retained candidates are none, one, of one commune, or of several."""
-    kept = candidates.where(F.col("similarity") >= least)
-    n, towns = F.count("*"), F.size(F.collect_set("commune"))
-    return kept.groupBy(query).agg(
-        n.alias("n_candidates"), towns.alias("n_communes"),
-        F.when(n == 1, "unique").when(towns == 1, "one_commune").otherwise("several_communes").alias("verdict"),
-        F.when(towns == 1, F.min("commune")).alias("commune"),
+    queries = checkpoint(queries.where("query IS NOT NULL").distinct())
+    sites = checkpoint(sites.where("name IS NOT NULL").select("siret", "commune", "name").distinct())
+    n = likeness.blocks(queries, "query")
+    m = likeness.blocks(sites, "name", n)
+    weight = F.greatest(F.count("*"), F.sum(F.length("name")) / likeness.LETTERS)
+    loads = sites.where("commune IS NOT NULL").groupBy("commune").agg(weight.alias("load"))
+    limit = loads.select(F.sum("load") / (4 * m)).first()[0] or 0.0
+    large = loads.where((F.col("load") > limit) & F.lit(m > 1)).select("commune", F.lit(True).alias("large"))
+    placed = sites.join(large, "commune", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    apart = F.col("large") | F.col("commune").isNull()
+    placed = placed.withColumn("block", F.when(apart, likeness.dealt(m, "siret")).otherwise(likeness.dealt(m, "commune")))
+
+    def run(pdf):
+        asked, named = pdf["query"].dropna().tolist(), pdf[pdf["name"].notna()]
+        site = named.groupby(["siret", "commune"], dropna=False, sort=False).ngroup().to_numpy()
+        name, texts = pd.factorize(named["name"])
+        # The sites of each name, one name after the other.
+        order = np.argsort(name, kind="stable")
+        held, begins = site[order], np.searchsorted(name[order], np.arange(len(texts) + 1))
+        first = np.unique(site, return_index=True)[1]
+        commune, communes = pd.factorize(named["commune"].to_numpy(dtype=object)[first])
+        spread = np.zeros(len(communes), dtype=bool)
+        spread[commune[commune >= 0]] = named["large"].to_numpy(dtype=bool)[first][commune >= 0]
+        rows = []
+        for i, found, _ in likeness.alike(asked, list(texts), least):
+            of = np.unique(np.concatenate([held[begins[j] : begins[j + 1]] for j in found]))
+            towns = np.unique(commune[of])
+            towns = towns[towns >= 0]
+            known, split = communes[towns], spread[towns]
+            rows.append((asked[i], len(of), int((~split).sum()), min(known, default=None), list(known[split])))
+        yield pd.DataFrame(rows, columns=["query", "n", "towns", "commune", "spread"])
+
+    schema = "query string, n long, towns int, commune string, spread array<string>"
+    n_communes = (F.sum("towns") + F.size(F.array_distinct(F.flatten(F.collect_list("spread"))))).cast("int")
+    counted = likeness.tiles(queries.withColumn("block", likeness.dealt(n, "query")), placed, n, m, run, schema)
+    found = counted.groupBy("query").agg(F.sum("n").alias("n_candidates"), n_communes.alias("n_communes"), F.min("commune").alias("commune"))
+    one = F.col("n_communes") == 1
+    return found.select(
+        "query", "n_candidates", "n_communes",
+        F.when(F.col("n_candidates") == 1, "unique").when(one, "one_commune").otherwise("several_communes").alias("verdict"),
+        F.when(one, F.col("commune")).alias("commune"),
     )
 
 

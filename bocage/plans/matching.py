@@ -37,10 +37,7 @@ def name_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "sirene_etablissements").select(
         text.compare_key(F.col("enseigne")).alias("query"), text.compare_key(F.col("raison_sociale_unite_legale")).alias("name"), "siret", F.col("code_commune").alias("commune")
     ).distinct()
-    names = df.select("siret", "commune", F.explode(F.array("query", "name")).alias("name")).where("name IS NOT NULL").distinct()
-    pairs = matching.dice_join(df.select("query"), "query", names, "name", 0.8)
-    found = pairs.join(names, "name").groupBy("query", "siret", "commune").agg(F.max("score").alias("similarity"))
-    return matching.name_verdict(found, "query", 0.8)
+    return matching.name_verdict(df.select("query"), df.select("siret", "commune", F.explode(F.array("query", "name")).alias("name")), 0.8)
 
 
 def people_search(spark: SparkSession, sf_dir: str) -> DataFrame:

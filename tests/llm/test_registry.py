@@ -214,3 +214,11 @@ def test_similar_words_lose_nothing(spark):
     short = [w for w in words if len(w) < 1000]
     assert {p for p in got if len(p[0]) < 1000} == {(a, b) for a in short for b in short if a != b and same_word(a, b)}
     assert ("x" * 100_000, "x" * 100_001) in got
+
+
+def test_pairs_of_a_large_block_that_share_one_word_only_meet(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "LARGE_BLOCK", 5)
+    centres = [centre(f"c{i}", "CDS dentaire Lurgage", None) for i in range(6)]
+    sites = [site(f"{i:03}a", "SAS CENTRE DE SANTE DENTAIRE LURGAGE", str(i + 1), n) for i, n in enumerate(NAMES[1:])]
+    a, b = records(spark, spark.createDataFrame(centres, CENTRES), spark.createDataFrame(sites, SITES))
+    assert {(r["l"], r["r"]) for r in linkage.candidate_pairs(a, b).collect()} == {(f"c{i}", s[0]) for i in range(6) for s in sites}

@@ -214,10 +214,22 @@ def percentiles(runs: DataFrame, quantiles: tuple = QUANTILES) -> DataFrame:
     for i, q in enumerate(quantiles):
         at = F.lit(q) * (F.col("n") - 1)
         a, b = F.col(f"val{i}"), F.coalesce(F.col(f"nxt{i}"), F.col(f"val{i}"))
-        out.append((a + (b - a) * (at - F.floor(at))).alias(f"p{round(q * 100):02d}"))
+        out.append(_between(a, b, at - F.floor(at)).alias(f"p{round(q * 100):02d}"))
     return found.select("g", "n", *out)
 
 
+def _between(a: Column, b: Column, share: Column) -> Column:
+    """The value at a share of the way from ``a`` to ``b``: a (1 - share) + b share with a fused multiply-add, to the last bit as SQL's quantile_cont."""
+    # Reflection returns a string, which keeps every bit of a double.
+    return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), a, F.lit(1.0) - share, b * share).cast("double")
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded as the SQL rounds: scaled in binary, half away from zero, scaled back; F.round goes by the decimal digits, where other values are ties."""
+    scaled = x * F.lit(10.0**digits)
+    return F.when(F.abs(scaled) < math.inf, F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+
+
 def kept_runs(df: DataFrame, group: str, value: str, loaded: str, run_values: int = RUN_VALUES, by_day: bool = False) -> DataFrame:
     """Runs of a table, in reliable storage for the rounds that read them again."""
     return checkpoint(day_runs(clean_values(df, group, value, loaded), run_values, by_day))

@@ -47,8 +47,8 @@ def p3_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = percentiles.percentiles(checkpoint(runs))
     return out.select(
         F.substring_index("g", "|", 1).alias("code_commune"), F.substring_index("g", "|", -1).cast("date").alias("jour"),
-        F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"), F.round("p50", 6).alias("prix_m2_median"),
-        F.round("p75", 6).alias("prix_m2_p75"),
+        F.col("n").alias("n_prix"), percentiles.rounded(F.col("p25")).alias("prix_m2_p25"), percentiles.rounded(F.col("p50")).alias("prix_m2_median"),
+        percentiles.rounded(F.col("p75")).alias("prix_m2_p75"),
     )
 
 
@@ -56,8 +56,8 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact p25, median and p75 of prix_m2 per commune, by multi-select over runs of all days."""
     runs = percentiles.kept_runs(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at")
     return percentiles.percentiles(runs).select(
-        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"),
-        F.round("p50", 6).alias("prix_m2_median"), F.round("p75", 6).alias("prix_m2_p75"),
+        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), percentiles.rounded(F.col("p25")).alias("prix_m2_p25"),
+        percentiles.rounded(F.col("p50")).alias("prix_m2_median"), percentiles.rounded(F.col("p75")).alias("prix_m2_p75"),
     )
 
 
@@ -65,8 +65,8 @@ def p3_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the runs of separate days, each kept by itself and selected from together."""
     kept = percentiles.kept_runs(table(spark, sf_dir, "dvf_mutations"), "code_commune", "prix_m2", "loaded_at", by_day=True)
     return percentiles.percentiles(checkpoint(percentiles.merged(kept))).select(
-        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), F.round("p25", 6).alias("prix_m2_p25"),
-        F.round("p50", 6).alias("prix_m2_median"), F.round("p75", 6).alias("prix_m2_p75"),
+        F.col("g").alias("code_commune"), F.col("n").alias("n_prix"), percentiles.rounded(F.col("p25")).alias("prix_m2_p25"),
+        percentiles.rounded(F.col("p50")).alias("prix_m2_median"), percentiles.rounded(F.col("p75")).alias("prix_m2_p75"),
     )
 
 
